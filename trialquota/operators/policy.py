@@ -40,6 +40,15 @@ def capacity_count(n_rows: int, capacity: float) -> int:
     return math.floor(float(capacity) * n_rows)
 
 
+def capacity_table(df: DataFrame, capacities: Sequence[float]) -> DataFrame:
+    """Exact slot counts of a sample, one row per capacity."""
+    if any(not 0.0 <= q <= 1.0 for q in capacities):
+        raise ValueError("capacity must be in [0, 1]")
+    shares = F.array(*[F.lit(float(q)) for q in capacities])
+    counted = df.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.explode(shares).alias("capacity"))
+    return counted.withColumn("k", F.floor(F.col("capacity") * F.col("n_rows")).cast("bigint"))
+
+
 def top_k_membership(ranking: Ranking, capacity: float) -> DataFrame:
     """Flag the rows each policy selects at one capacity."""
     k = capacity_count(ranking.n_rows, capacity)
