@@ -1,8 +1,8 @@
 """Seeded SplitMix64 keys computed in generated JVM code.
 
 Spark's ANSI mode raises on 64-bit overflow, so products modulo 2**64 are formed
-from 22-bit limbs that cannot overflow a long.  Each step is its own projection:
-the optimizer keeps projections apart when a column is read more than once, so
+from 22-bit limbs that cannot overflow a long.  Each step has its own name: the
+optimizer keeps a projection apart when its column is read more than once, so
 the expression stays linear in size.  The result passes through a one-element
 ``explode``, which stops later filters on the key from being rewritten through
 all those projections (where every reference would be expanded again).
@@ -41,52 +41,42 @@ def derive_seed(seed: int, purpose: int) -> int:
 
 
 def with_splitmix64(df: DataFrame, out: str, id_col: str, seed: int) -> DataFrame:
-    """Add ``out``: the 64-bit key of a non-negative id, as a signed long."""
+    """Add ``out``: the 64-bit key of a non-negative id, as a signed long.
+
+    The steps are one select whose columns refer to earlier ones by alias; the
+    analyzer stacks them into projections.
+    """
     if not 0 <= seed <= MASK64:
         raise ValueError("seed must be an unsigned 64-bit value")
-    keep = list(df.columns)
     start = (seed + GAMMA) & MASK64
-    row = F.col(id_col).cast("bigint")
-    checked = F.when(row < 0, F.raise_error(F.lit(f"{id_col} must be non-negative"))).otherwise(row)
-
-    step = df.select(*keep, checked.alias("_id"))
-    step = step.select(*keep, "_id", (F.col("_id").bitwiseAND(F.lit(LOW_WORD)) + (start & LOW_WORD)).alias("_lo"))
-    high = F.shiftrightunsigned("_id", 32) + (start >> 32) + F.shiftrightunsigned("_lo", 32)
-    step = step.select(
-        *keep, F.shiftleft(high, 32).bitwiseOR(F.col("_lo").bitwiseAND(F.lit(LOW_WORD))).alias("_z")
-    )
-    step = _multiply(_fold(step, keep, 30), keep, MULTIPLIER_A)
-    step = _multiply(_fold(step, keep, 27), keep, MULTIPLIER_B)
-    step = _fold(step, keep, 31)
-    return step.select(*keep, F.explode(F.array("_z")).alias(out))
-
-
-def _fold(df: DataFrame, keep: list[str], bits: int) -> DataFrame:
-    z = F.col("_z")
-    return df.select(*keep, z.bitwiseXOR(F.shiftrightunsigned(z, bits)).alias("_z"))
-
-
-def _multiply(df: DataFrame, keep: list[str], factor: int) -> DataFrame:
-    z = F.col("_z")
-    df = df.select(
-        *keep,
-        z.bitwiseAND(F.lit(LIMB)).alias("_a0"),
-        F.shiftrightunsigned(z, 22).bitwiseAND(F.lit(LIMB)).alias("_a1"),
-        F.shiftrightunsigned(z, 44).alias("_a2"),
-    )
-    b0, b1, b2 = (F.lit(part) for part in (factor & LIMB, (factor >> 22) & LIMB, factor >> 44))
-    a0, a1, a2 = F.col("_a0"), F.col("_a1"), F.col("_a2")
-    df = df.select(
-        *keep,
-        (a0 * b0).alias("_c0"),
-        (a0 * b1 + a1 * b0).alias("_c1"),
-        (a0 * b2 + a1 * b1 + a2 * b0).alias("_c2"),
-    )
-    df = df.select(*keep, "_c0", (F.col("_c1") + F.shiftrightunsigned("_c0", 22)).alias("_c1"), "_c2")
-    low = F.col("_c0").bitwiseAND(F.lit(LIMB))
-    middle = F.shiftleft(F.col("_c1").bitwiseAND(F.lit(LIMB)), 22)
-    high = F.shiftleft(F.col("_c2") + F.shiftrightunsigned("_c1", 22), 44)
-    return df.select(*keep, low.bitwiseOR(middle).bitwiseOR(high).alias("_z"))
+    row = f"CAST(`{id_col}` AS BIGINT)"
+    steps = [
+        f"IF({row} < 0, CAST(raise_error('{id_col} must be non-negative') AS BIGINT), {row}) AS _id",
+        f"(_id & {LOW_WORD}L) + {start & LOW_WORD}L AS _lo",
+        f"shiftrightunsigned(_id, 32) + {start >> 32}L + shiftrightunsigned(_lo, 32) AS _hi",
+        f"shiftleft(_hi, 32) | (_lo & {LOW_WORD}L) AS _z0",
+        "_z0 ^ shiftrightunsigned(_z0, 30) AS _y0",
+        *_multiply("_y0", MULTIPLIER_A, "_a", "_z1"),
+        "_z1 ^ shiftrightunsigned(_z1, 27) AS _y1",
+        *_multiply("_y1", MULTIPLIER_B, "_b", "_z2"),
+    ]
+    key = F.expr("explode(array(_z2 ^ shiftrightunsigned(_z2, 31)))").alias(out)
+    return df.selectExpr("*", *steps).select(*df.columns, key)
+
+
+def _multiply(z: str, factor: int, name: str, out: str) -> list[str]:
+    """Columns computing ``z * factor`` modulo 2**64 from 22-bit limbs."""
+    b0, b1, b2 = factor & LIMB, (factor >> 22) & LIMB, factor >> 44
+    a0, a1, a2, low, middle, high = (f"{name}_{part}" for part in ("0", "1", "2", "low", "mid", "high"))
+    return [
+        f"{z} & {LIMB}L AS {a0}",
+        f"shiftrightunsigned({z}, 22) & {LIMB}L AS {a1}",
+        f"shiftrightunsigned({z}, 44) AS {a2}",
+        f"{a0} * {b0}L AS {low}",
+        f"{a0} * {b1}L + {a1} * {b0}L + shiftrightunsigned({low}, 22) AS {middle}",
+        f"{a0} * {b2}L + {a1} * {b1}L + {a2} * {b0}L + shiftrightunsigned({middle}, 22) AS {high}",
+        f"({low} & {LIMB}L) | shiftleft({middle} & {LIMB}L, 22) | shiftleft({high}, 44) AS {out}",
+    ]
 
 
 def unsigned_mod(key: Column, modulus: Column | int) -> Column:

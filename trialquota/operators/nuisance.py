@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from trialquota.functions.scores import aipw_score
 from trialquota.operators.splits import assign_fold
-from trialquota.sources.staging import broadcast_if_small, stage
+from trialquota.sources.staging import broadcast_if_small, stage_counted
 
 
 def _arm_sums(df: DataFrame, keys: Sequence[str], outcomes: Sequence[str], treatment: str) -> DataFrame:
@@ -35,17 +35,19 @@ class CellMeans:
     strata: tuple[str, ...]
     outcomes: tuple[str, ...]
     arm_means: dict[str, float]
+    n_cells: int
 
     def transform(self, df: DataFrame) -> DataFrame:
         names = [f"mu{arm}_{y}" for y in self.outcomes for arm in (0, 1)]
-        joined = df.join(broadcast_if_small(self.cells.select(*self.strata, *names)), list(self.strata), "left")
+        cells = broadcast_if_small(self.cells.select(*self.strata, *names), self.n_cells)
+        joined = df.join(cells, list(self.strata), "left")
         return joined.withColumns({m: F.coalesce(F.col(m), F.lit(self.arm_means[m])) for m in names})
 
 
 def fit_cell_means(
     df: DataFrame, strata: Sequence[str], outcomes: Sequence[str], treatment: str = "treatment"
 ) -> CellMeans:
-    sums = stage(_arm_sums(df, strata, outcomes, treatment), "cell-sums")
+    sums, n_cells = stage_counted(_arm_sums(df, strata, outcomes, treatment), "cell-sums")
     names = [(f"mu{arm}_{y}", arm, y) for y in outcomes for arm in (0, 1)]
     overall = sums.agg(
         *[F.try_divide(F.sum(f"s{arm}_{y}"), F.sum(f"n{arm}")).alias(m) for m, arm, y in names]
@@ -61,7 +63,7 @@ def fit_cell_means(
             for m, arm, y in names
         ],
     )
-    return CellMeans(cells, tuple(strata), tuple(outcomes), {m: overall[m] for m, _, _ in names})
+    return CellMeans(cells, tuple(strata), tuple(outcomes), {m: overall[m] for m, _, _ in names}, n_cells)
 
 
 def cross_fitted_scores(
@@ -81,7 +83,7 @@ def cross_fitted_scores(
     fitted in the same single aggregation.
     """
     folded = assign_fold(df, row_id, folds, fold_seed)
-    sums = stage(_arm_sums(folded, [*strata, "fold"], [outcome], treatment), "fold-sums")
+    sums, n_models = stage_counted(_arm_sums(folded, [*strata, "fold"], [outcome], treatment), "fold-sums")
     whole = Window.partitionBy(*strata)  # at most one row per fold in each window
     columns = ["n0", "n1", f"s0_{outcome}", f"s1_{outcome}"]
     others = sums.select(*strata, "fold", *[(F.sum(c).over(whole) - F.col(c)).alias(c) for c in columns])
@@ -106,8 +108,7 @@ def cross_fitted_scores(
             for arm in (0, 1)
         ],
     )
-    models = stage(models, "fold-models")
-    scored = folded.join(broadcast_if_small(models), [*strata, "fold"], "left")
+    scored = folded.join(broadcast_if_small(models, n_models), [*strata, "fold"], "left")
     psi = aipw_score(F.col(outcome), F.col(treatment), F.col("_mu0"), F.col("_mu1"), propensity)
     return scored.withColumn(out, psi).drop("_mu0", "_mu1")
 
@@ -120,16 +121,19 @@ class CellAverage:
     strata: tuple[str, ...]
     overall: float
     out: str
+    n_cells: int
 
     def transform(self, df: DataFrame) -> DataFrame:
-        joined = df.join(broadcast_if_small(self.cells), list(self.strata), "left")
+        joined = df.join(broadcast_if_small(self.cells, self.n_cells), list(self.strata), "left")
         return joined.withColumn(self.out, F.coalesce(F.col(self.out), F.lit(self.overall)))
 
 
 def fit_cell_average(df: DataFrame, strata: Sequence[str], column: str, out: str = "dr_score") -> CellAverage:
-    sums = stage(df.groupBy(*strata).agg(F.count(column).alias("n"), F.sum(column).alias("s")), "cell-average")
+    sums, n_cells = stage_counted(
+        df.groupBy(*strata).agg(F.count(column).alias("n"), F.sum(column).alias("s")), "cell-average"
+    )
     overall = sums.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean")).first()["mean"]
     if overall is None:
         raise ValueError("the second stage needs at least one pseudo-outcome")
     cells = sums.select(*strata, F.try_divide("s", "n").alias(out))
-    return CellAverage(cells, tuple(strata), overall, out)
+    return CellAverage(cells, tuple(strata), overall, out, n_cells)

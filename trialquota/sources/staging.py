@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 BROADCAST_ROWS = 2_000_000
 
@@ -32,10 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet and return a DataFrame that reads it back."""
+    return stage_counted(df, label)[0]
+
+
+def stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """As ``stage``, with the row count observed while writing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    observed = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    observed.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
 def drop_staged(spark: SparkSession) -> None:
