@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trialquota.operators.ranking import Ranking
+from trialquota.sources.staging import broadcast_if_small
 
 BLOCK_ROWS = 1 << 18
 
@@ -96,8 +97,8 @@ def qini_curve(ranking: Ranking, gain: str = "z") -> DataFrame:
     )
     inside = Window.partitionBy("policy", "_block").orderBy("rank")
     running = ranked.withColumn("_running", F.sum("_z").over(inside))
-    # n / BLOCK_ROWS rows per policy.
-    curve = running.join(F.broadcast(starts), ["policy", "_block"]).select(
+    n_starts = ranking.sizes.count() * math.ceil(n / BLOCK_ROWS)
+    curve = running.join(broadcast_if_small(starts, n_starts), ["policy", "_block"]).select(
         "policy",
         F.col("rank").alias("position"),
         (F.col("rank") / F.lit(float(n))).alias("fraction"),

@@ -41,7 +41,7 @@ def stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     seen = Observation()
     observed = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    observed.write.option("compression", "zstd").parquet(path)
+    observed.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
