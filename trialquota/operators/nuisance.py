@@ -130,10 +130,10 @@ class CellAverage:
 
 def fit_cell_average(df: DataFrame, strata: Sequence[str], column: str, out: str = "dr_score") -> CellAverage:
     sums, n_cells = stage_counted(
-        df.groupBy(*strata).agg(F.count(column).alias("n"), F.sum(column).alias("s")), "cell-average"
+        df.groupBy(*strata).agg(F.count(column).alias("_n"), F.sum(column).alias("_s")), "cell-average"
     )
-    overall = sums.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean")).first()["mean"]
+    overall = sums.agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("mean")).first()["mean"]
     if overall is None:
         raise ValueError("the second stage needs at least one pseudo-outcome")
-    cells = sums.select(*strata, F.try_divide("s", "n").alias(out))
+    cells = sums.select(*strata, F.try_divide("_s", "_n").alias(out))
     return CellAverage(cells, tuple(strata), overall, out, n_cells)
