@@ -483,7 +483,7 @@ def oracle_queries() -> dict[str, str]:
             "test",
         ),
         "v11_duplicate_keys": (
-            "SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1"
+            "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1"
         ),
         "v12_sample_scopes": build(
             "SELECT sample_scope, count(*) AS \"rows\" FROM (SELECT sample_scope FROM sample_summary "

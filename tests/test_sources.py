@@ -109,7 +109,7 @@ def test_result_tables_round_trip(spark, tmp_path, fmt):
 
 def test_staging_counts_and_cleans_up(spark, tmp_path, monkeypatch):
     app = spark.sparkContext.applicationId
-    monkeypatch.setitem(staging._local_dirs, app, str(tmp_path))
+    monkeypatch.setattr(staging, "shared_dir", lambda spark: str(tmp_path))
     staged, rows = staging.stage_counted(spark.range(12), "ids")
     assert rows == 12 and staged.count() == 12
     assert (tmp_path / app).is_dir()
