@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialquota.functions.hashing import derive_seed, unsigned_mod, with_splitmix64
-from trialquota.operators.nuisance import cross_fitted_scores, fit_cell_average, fit_cell_means
+from trialquota.operators.nuisance import fit_cell_average, fit_folds
 from trialquota.operators.policy import with_aipw, with_policy_scores
 from trialquota.operators.splits import assign_split
 from trialquota.spec import ExperimentSpec
@@ -86,11 +86,9 @@ def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     rows = split_events(spark, sf_dir)
     dev, test = development(rows), held_out(rows)
-    nuisance = fit_cell_means(dev, NUISANCE_STRATA, EVENTS.outcomes)
-    pseudo = cross_fitted_scores(
-        dev, NUISANCE_STRATA, EVENTS.outcomes[0], EVENTS.treatment, EVENTS.propensity, FOLDS, FOLD_SEED
-    )
+    fitted = fit_folds(dev, NUISANCE_STRATA, EVENTS.outcomes, EVENTS.treatment, FOLDS, FOLD_SEED)
+    pseudo = fitted.pseudo_outcomes(EVENTS.outcomes[0], EVENTS.propensity)
     second = fit_cell_average(pseudo, DR_STRATA, "pseudo")
-    scored = with_policy_scores(second.transform(nuisance.transform(test)), EVENTS.outcomes[0])
+    scored = with_policy_scores(second.transform(fitted.cell_means().transform(test)), EVENTS.outcomes[0])
     scored = with_aipw(scored, EVENTS.outcomes, EVENTS.treatment, EVENTS.propensity)
     return scored.withColumns({p: F.round(p, 12) for p in ("response", "t_learner", "dr_learner")})

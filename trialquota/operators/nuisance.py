@@ -44,10 +44,7 @@ class CellMeans:
         return joined.withColumns({m: F.coalesce(F.col(m), F.lit(self.arm_means[m])) for m in names})
 
 
-def fit_cell_means(
-    df: DataFrame, strata: Sequence[str], outcomes: Sequence[str], treatment: str = "treatment"
-) -> CellMeans:
-    sums, n_cells = stage_counted(_arm_sums(df, strata, outcomes, treatment), "cell-sums")
+def _cell_means(sums: DataFrame, n_cells: int, strata: Sequence[str], outcomes: Sequence[str]) -> CellMeans:
     names = [(f"mu{arm}_{y}", arm, y) for y in outcomes for arm in (0, 1)]
     overall = sums.agg(
         *[F.try_divide(F.sum(f"s{arm}_{y}"), F.sum(f"n{arm}")).alias(m) for m, arm, y in names]
@@ -66,6 +63,73 @@ def fit_cell_means(
     return CellMeans(cells, tuple(strata), tuple(outcomes), {m: overall[m] for m, _, _ in names}, n_cells)
 
 
+def fit_cell_means(
+    df: DataFrame, strata: Sequence[str], outcomes: Sequence[str], treatment: str = "treatment"
+) -> CellMeans:
+    sums, n_cells = stage_counted(_arm_sums(df, strata, outcomes, treatment), "cell-sums")
+    return _cell_means(sums, n_cells, strata, outcomes)
+
+
+@dataclass(frozen=True)
+class FoldSums:
+    """Arm sums per stratum and fold: one pass that fits all folds and the whole sample.
+
+    Out-of-fold sums are all-fold sums minus own-fold sums.
+    """
+
+    rows: DataFrame  # the input with its ``fold``
+    sums: DataFrame
+    n_sums: int
+    strata: tuple[str, ...]
+    outcomes: tuple[str, ...]
+    treatment: str
+
+    def cell_means(self) -> CellMeans:
+        """Models fitted on every row."""
+        columns = [c for c in self.sums.columns if c not in (*self.strata, "fold")]
+        whole = self.sums.groupBy(*self.strata).agg(*[F.sum(c).alias(c) for c in columns])
+        return _cell_means(whole, self.n_sums, self.strata, self.outcomes)
+
+    def pseudo_outcomes(self, outcome: str, propensity: float, out: str = "pseudo") -> DataFrame:
+        """Doubly robust pseudo-outcomes from models that never saw the row's fold."""
+        columns = ["n0", "n1", f"s0_{outcome}", f"s1_{outcome}"]
+        whole = Window.partitionBy(*self.strata)  # at most one row per fold in each window
+        others = self.sums.select(*self.strata, "fold", *[(F.sum(c).over(whole) - F.col(c)).alias(c) for c in columns])
+
+        per_fold = self.sums.groupBy("fold").agg(*[F.sum(c).alias(c) for c in columns])
+        everything = Window.partitionBy(F.lit(1))  # one row per fold
+        outside = lambda c: F.sum(c).over(everything) - F.col(c)
+        backup = per_fold.select(
+            "fold",
+            *[F.try_divide(outside(f"s{arm}_{outcome}"), outside(f"n{arm}")).alias(f"_backup{arm}") for arm in (0, 1)],
+        )
+        models = others.join(F.broadcast(backup), "fold").select(
+            *self.strata,
+            "fold",
+            *[
+                F.coalesce(F.try_divide(f"s{arm}_{outcome}", f"n{arm}"), f"_backup{arm}").alias(f"_mu{arm}")
+                for arm in (0, 1)
+            ],
+        )
+        scored = self.rows.join(broadcast_if_small(models, self.n_sums), [*self.strata, "fold"], "left")
+        psi = aipw_score(F.col(outcome), F.col(self.treatment), F.col("_mu0"), F.col("_mu1"), propensity)
+        return scored.withColumn(out, psi).drop("_mu0", "_mu1")
+
+
+def fit_folds(
+    df: DataFrame,
+    strata: Sequence[str],
+    outcomes: Sequence[str],
+    treatment: str,
+    folds: int,
+    fold_seed: int,
+    row_id: str = "row_id",
+) -> FoldSums:
+    folded = assign_fold(df, row_id, folds, fold_seed)
+    sums, n_sums = stage_counted(_arm_sums(folded, [*strata, "fold"], outcomes, treatment), "fold-sums")
+    return FoldSums(folded, sums, n_sums, tuple(strata), tuple(outcomes), treatment)
+
+
 def cross_fitted_scores(
     df: DataFrame,
     strata: Sequence[str],
@@ -75,42 +139,9 @@ def cross_fitted_scores(
     folds: int,
     fold_seed: int,
     row_id: str = "row_id",
-    out: str = "pseudo",
 ) -> DataFrame:
-    """Doubly robust pseudo-outcomes from models that never saw the row's fold.
-
-    Out-of-fold sums are all-fold sums minus own-fold sums, so every fold is
-    fitted in the same single aggregation.
-    """
-    folded = assign_fold(df, row_id, folds, fold_seed)
-    sums, n_models = stage_counted(_arm_sums(folded, [*strata, "fold"], [outcome], treatment), "fold-sums")
-    whole = Window.partitionBy(*strata)  # at most one row per fold in each window
-    columns = ["n0", "n1", f"s0_{outcome}", f"s1_{outcome}"]
-    others = sums.select(*strata, "fold", *[(F.sum(c).over(whole) - F.col(c)).alias(c) for c in columns])
-
-    per_fold = sums.groupBy("fold").agg(*[F.sum(c).alias(c) for c in columns])
-    everything = Window.partitionBy(F.lit(1))  # one row per fold
-    backup = per_fold.select(
-        "fold",
-        *[
-            F.try_divide(
-                F.sum(f"s{arm}_{outcome}").over(everything) - F.col(f"s{arm}_{outcome}"),
-                F.sum(f"n{arm}").over(everything) - F.col(f"n{arm}"),
-            ).alias(f"_backup{arm}")
-            for arm in (0, 1)
-        ],
-    )
-    models = others.join(F.broadcast(backup), "fold").select(
-        *strata,
-        "fold",
-        *[
-            F.coalesce(F.try_divide(f"s{arm}_{outcome}", f"n{arm}"), f"_backup{arm}").alias(f"_mu{arm}")
-            for arm in (0, 1)
-        ],
-    )
-    scored = folded.join(broadcast_if_small(models, n_models), [*strata, "fold"], "left")
-    psi = aipw_score(F.col(outcome), F.col(treatment), F.col("_mu0"), F.col("_mu1"), propensity)
-    return scored.withColumn(out, psi).drop("_mu0", "_mu1")
+    """Rows with their fold and cross-fitted ``pseudo`` outcome."""
+    return fit_folds(df, strata, [outcome], treatment, folds, fold_seed, row_id).pseudo_outcomes(outcome, propensity)
 
 
 @dataclass(frozen=True)
