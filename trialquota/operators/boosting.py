@@ -272,7 +272,8 @@ def treatment_auc(
     fit_on = feature_frame(train.select(*columns), levels, used, params).persist()
     held = feature_frame(validation.select(*columns), levels, used, params).persist()
     rounds, _ = select_rounds(fit_on, held, spec.treatment, "classifier", params)
-    scored = predict(fit_rounds(fit_on, spec.treatment, "classifier", rounds, params), held, "score")
+    model = fit_rounds(fit_on, spec.treatment, "classifier", rounds, params)
+    scored = stage(predict(model, held, "score").select(spec.row_id, spec.treatment, "score"), "treatment-scores")
     area = stage(roc_auc(scored, "score", spec.treatment, spec.row_id), "treatment-auc")
     fit_on.unpersist()
     held.unpersist()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from trialquota.functions.scores import is_finite, nan_to_null, normal_quantile, standardized
 from trialquota.operators.integrity import require_development_rows
 from trialquota.operators.ranking import rank_rows
+from trialquota.sources.staging import stage
 from trialquota.spec import ExperimentSpec
 
 
@@ -137,13 +138,14 @@ def level_balance(df: DataFrame, features: Sequence[str], treatment: str) -> Dat
     kinds = dict(df.dtypes)
     text = any(kinds[f] == "string" for f in features)
     level = lambda f: F.col(f).cast("string") if text else nan_to_null(F.col(f))
-    counts = (
+    counted = (
         df.select(F.col(treatment).eqNullSafe(1).alias("_t"), *[level(f).alias(f) for f in features])
         .unpivot(["_t"], list(features), "feature", "level")
         .where(F.col("level").isNotNull())
         .groupBy("feature", "level")
         .agg(F.count(F.when(F.col("_t"), 1)).alias("n1"), F.count(F.when(~F.col("_t"), 1)).alias("n0"))
     )
+    counts = stage(counted, "level-counts")  # written so that rows are scanned once
     totals = counts.groupBy("feature").agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"))
     # One row per feature name: bounded by the width of the table.
     shares = counts.join(F.broadcast(totals), "feature").select(
@@ -191,7 +193,8 @@ def roc_auc(df: DataFrame, score: str, label: str, tie_id: str = "row_id") -> Da
 
     Ranks come from the distributed sort.  Tied rows sit next to each other in
     it, so most of each tie group combines before the shuffle, and the group
-    carries only its smallest and largest rank.
+    carries only its smallest and largest rank.  Range partitioning reads its
+    input twice, so costly scores should be staged first.
     """
     value = F.col(score).cast("double")
     checked = F.when(is_finite(value), value + F.lit(0.0)).otherwise(

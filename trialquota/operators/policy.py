@@ -96,28 +96,24 @@ def policy_value_grid(ranking: Ranking, outcomes: Sequence[str], capacities: Seq
         if 0 < k < n:
             sums += [F.sum(F.when(F.col("rank") <= k, F.col(f"psi_{y}"))).alias(f"top_{i}_{y}") for y in outcomes]
     by_policy = ranking.rows.groupBy("policy").agg(*sums)
-    # Three rows: the totals of one named policy stand for all of them.
+    # Three rows, gathered into one: the totals of one named policy stand for all
+    # of them, and random allocation joins as a fourth entry without own sums.
+    own = [c for c in by_policy.columns if c != "policy"]
+    random = F.struct(F.lit("random").alias("policy"), *[F.lit(None).cast("double").alias(c) for c in own])
     shared = by_policy.agg(
-        F.collect_list(F.struct("policy", *[c for c in by_policy.columns if c != "policy"])).alias("rows"),
+        F.collect_list(F.struct("policy", *own)).alias("ranked"),
         *[F.min_by(f"total_{y}", "policy").alias(f"shared_{y}") for y in outcomes],
     )
 
-    def top(y: str, i: int, k: int) -> Column:
-        if k == 0:
-            return F.lit(0.0)
-        if k == n:
-            return F.lit(k / n) * F.col(f"shared_{y}") / F.lit(float(n))
-        return F.col(f"row.top_{i}_{y}") / F.lit(float(n))
+    def value(y: str, i: int, k: int) -> Column:
+        share = F.lit(k / n) * F.col(f"shared_{y}") / F.lit(float(n))
+        if k in (0, n):
+            return share
+        return F.when(F.col("row.policy") == "random", share).otherwise(F.col(f"row.top_{i}_{y}") / F.lit(float(n)))
 
-    def drawn(y: str, i: int, k: int) -> Column:
-        return F.lit(k / n) * F.col(f"shared_{y}") / F.lit(float(n))
-
-    ranked = (
-        shared.select(F.explode("rows").alias("row"), *[f"shared_{y}" for y in outcomes])
-        .select(F.col("row.policy").alias("policy"), _cells(outcomes, capacities, n, top).alias("c"))
-    )
-    random = shared.select(F.lit("random").alias("policy"), _cells(outcomes, capacities, n, drawn).alias("c"))
-    return random.unionByName(ranked).select("c.outcome", "c.capacity", "c.k", "policy", "c.value")
+    rows = shared.withColumn("row", F.explode(F.concat("ranked", F.array(random))))
+    cells = rows.select(F.col("row.policy").alias("policy"), _cells(outcomes, capacities, n, value).alias("c"))
+    return cells.select("c.outcome", "c.capacity", "c.k", "policy", "c.value")
 
 
 def policy_contrasts(values: DataFrame, keys: Sequence[str] = ("outcome", "capacity")) -> DataFrame:

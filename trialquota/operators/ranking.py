@@ -50,8 +50,12 @@ def rank_rows(df: DataFrame, groups: Sequence[str], order: Sequence[Column], lab
     )
     staged = stage(tagged, label)
     partition = F.shiftright(F.col("_position"), _POSITION_BITS)
-    blocks = staged.groupBy(*groups, partition.alias("_partition")).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_position").alias("_first")
+    # At most (shuffle partitions + groups) rows: bounded by configuration, not by data.
+    blocks = stage(
+        staged.groupBy(*groups, partition.alias("_partition")).agg(
+            F.count(F.lit(1)).alias("_rows"), F.min("_position").alias("_first")
+        ),
+        f"{label}-blocks",
     )
     running = Window.partitionBy(*groups).orderBy("_partition")
     starts = blocks.select(
@@ -59,7 +63,6 @@ def rank_rows(df: DataFrame, groups: Sequence[str], order: Sequence[Column], lab
         "_partition",
         (F.sum("_rows").over(running) - F.col("_rows") - F.col("_first") + 1).alias("_shift"),
     )
-    # At most (shuffle partitions + groups) rows: bounded by configuration, not by data.
     rows = (
         staged.withColumn("_partition", partition)
         .join(F.broadcast(starts), [*groups, "_partition"])
