@@ -13,6 +13,7 @@ import time
 from pyspark.sql import SparkSession
 
 from checks import catalog
+from trialquota.sources.staging import drop_staged
 
 HEADLINE = (
     "v6_integrity", "h1_split", "e1_category_levels", "a4_effect_table", "a8_balance_table", "a10_roc_auc_continuous",
@@ -53,6 +54,7 @@ def main() -> None:
             }
         )
     )
+    drop_staged(spark)
     spark.stop()
 
 

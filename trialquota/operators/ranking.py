@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trialquota.functions.hashing import unsigned_order, with_splitmix64
 from trialquota.functions.scores import is_finite
-from trialquota.sources.staging import stage
+from trialquota.sources.staging import broadcast_if_small, stage, stage_counted
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the partition number above these
 
@@ -50,8 +50,8 @@ def rank_rows(df: DataFrame, groups: Sequence[str], order: Sequence[Column], lab
     )
     staged = stage(tagged, label)
     partition = F.shiftright(F.col("_position"), _POSITION_BITS)
-    # At most (shuffle partitions + groups) rows: bounded by configuration, not by data.
-    blocks = stage(
+    # At most (shuffle partitions + groups) rows.
+    blocks, n_blocks = stage_counted(
         staged.groupBy(*groups, partition.alias("_partition")).agg(
             F.count(F.lit(1)).alias("_rows"), F.min("_position").alias("_first")
         ),
@@ -65,7 +65,7 @@ def rank_rows(df: DataFrame, groups: Sequence[str], order: Sequence[Column], lab
     )
     rows = (
         staged.withColumn("_partition", partition)
-        .join(F.broadcast(starts), [*groups, "_partition"])
+        .join(broadcast_if_small(starts, n_blocks), [*groups, "_partition"])
         .withColumn("rank", F.col("_position") + F.col("_shift"))
         .drop("_partition", "_position", "_shift")
     )
