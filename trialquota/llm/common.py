@@ -68,14 +68,6 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(7), text).alias("_k2")]
 
 
-def same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
-    """Null-safe equality on all ``columns``."""
-    condition = F.lit(True)
-    for c in columns:
-        condition = condition & left[c].eqNullSafe(right[c])
-    return condition
-
-
 def bit_sums(hashed: Column) -> list[Column]:
     """Sums that count each of the 64 bits of ``hashed`` over a group.
 
