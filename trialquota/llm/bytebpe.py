@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from trialquota.llm.wordcodes import Memo, gathered_ids, slices, word_codes
 
 NO_LIMIT = 1 << 62
+PAIRS = 1 << 20
 #: White space after a space, a text that ends with one, or the mark that is put before spaces.
 ODD = r"[ ][\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ ]$|\x{00}"
 
@@ -48,7 +49,11 @@ class PrefixEncoder:
                 # A token that its own merges don't reach is never chosen inside a piece.
                 if len(parts) == 2:
                     self.halves[rank] = (ranks[parts[0]], ranks[parts[1]])
-        self.usable = {t: r for t, r in ranks.items() if len(t) == 1 or r in self.halves}
+        #: Token of every ending of a token, or -1 for an ending that is none itself.
+        self.endings = {t[i:]: -1 for t in ranks for i in range(1, len(t))}
+        self.endings |= {t: r for t, r in ranks.items() if len(t) == 1 or r in self.halves}
+        #: Answers of ``may_follow`` already known.
+        self.follows: dict[int, bool] = {}
 
     def _merged(self, token: bytes, below: int) -> list[bytes]:
         """Parts of ``token`` after all merges of a rank under ``below``."""
@@ -84,13 +89,25 @@ class PrefixEncoder:
 
     def fill(self, data: bytes, last: list[int], begin: int, stop=None) -> list[int]:
         """Last tokens of all prefixes; those up to ``begin`` bytes are in ``last`` already."""
-        usable, tokens, longest = self.usable, self.tokens, self.longest
+        endings, follows, may_follow = self.endings, self.follows, self.may_follow
         for end in range(begin + 1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = usable.get(data[start:end])
-                if token is not None and (start == 0 or self.may_follow(last[start], token)):
-                    last.append(token)
-                    break
+            # All tokens that end here, found from the shortest on.
+            start, found = end - 1, []
+            while start >= 0 and (token := endings.get(data[start:end])) is not None:
+                if token >= 0:
+                    found.append((start, token))
+                start -= 1
+            for start, token in reversed(found):
+                if start:
+                    pair = last[start] << 32 | token
+                    if (fits := follows.get(pair)) is None:
+                        if len(follows) >= PAIRS:
+                            follows.clear()
+                        fits = follows[pair] = may_follow(last[start], token)
+                    if not fits:
+                        continue
+                last.append(token)
+                break
             if stop and stop(end, last):
                 break
         return last
@@ -141,7 +158,8 @@ class TextCodec:
 
     def _word(self, word: str) -> bytes:
         memo, parts = self.memo, []
-        for piece in self.pattern.findall(word):
+        letters = word.isalpha() or (word[:1] == " " and word[1:].isalpha())
+        for piece in (word,) if letters else self.pattern.findall(word):
             ids = memo.get(piece)
             if ids is None:
                 ids = np.array(self.encoder.encode(piece.encode()), np.int32).tobytes()

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 8 << 20
-MEMO_ENTRIES = 1 << 18
+SLICE_BYTES = 16 << 20
+MEMO_ENTRIES = 1 << 19
 
 
 class Memo:
