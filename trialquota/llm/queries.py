@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trialquota.llm import bytebpe, decontam, linededup, personal, quality, simhash, tokencount, tokenfiles
+from trialquota.llm import bytebpe, decontam, linededup, personal, quality, repeats, simhash, tokencount, tokenfiles
 from trialquota.llm.common import staged_path, table
 
 
@@ -28,6 +28,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.drop("_k1", "_k2")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staged_path(spark, "token-files")
     tokenfiles.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
