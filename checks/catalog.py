@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from checks import fixture as fx
 from checks.fixture import EVENTS, FOLD_SEED, FOLDS, NUISANCE_STRATA, ORDERS
@@ -22,10 +22,11 @@ from trialquota.spec import CAPACITIES, SCORE_POLICIES
 
 BOOTSTRAP_SEED = 20260805
 REPLICATES = 20
-BLOCKED_REPLICATES = 200
+BLOCKED_REPLICATES = 1000
 CONFIDENCE = 0.95
 PSI = ["psi_conversion", "psi_visit"]
-SMALL_TREES = boosting.BoostingParams(max_rounds=6, patience=2, step=0.1, depth=3, min_rows=50, max_bins=32)
+# Small trees, with enough rounds for the budget to double before patience ends the search.
+SMALL_TREES = boosting.BoostingParams(max_rounds=16, patience=2, step=0.1, depth=3, min_rows=50, max_bins=32)
 ORDER_STRATA = ("c_mktsegment", "o_orderpriority")
 
 
@@ -160,6 +161,21 @@ def as_long(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("bigint").alias(c) if kind in small else F.col(c) for c, kind in df.dtypes])
 
 
+def share(column: str) -> Column:
+    """Whether a probability lies strictly between zero and one."""
+    return ((F.col(column) > 0) & (F.col(column) < 1)).alias(f"{column}_in_range")
+
+
+def selected(metadata: DataFrame) -> DataFrame:
+    """Model metadata with the fitted numbers replaced by whether they can be right."""
+    return metadata.withColumns(
+        {
+            "selected_rounds": F.col("selected_rounds").between(1, SMALL_TREES.max_rounds),
+            "validation_loss": F.col("validation_loss") > 0,
+        }
+    ).withColumnsRenamed({"selected_rounds": "rounds_in_range", "validation_loss": "loss_positive"})
+
+
 # ---------------------------------------------------------------- sources
 
 
@@ -170,6 +186,14 @@ def s1_csv_scan(run: Run) -> DataFrame:
     return scan.scan_csv(run.spark, path, EVENTS)
 
 
+def s2_csv_ordinal(run: Run) -> DataFrame:
+    """Row ids over several plain CSV files written in row order."""
+    path = run.folder("source-files")
+    ordered = run.events.repartitionByRange(6, "row_id").sortWithinPartitions("row_id")
+    ordered.select(*EVENTS.source_columns).write.option("header", True).csv(path)
+    return scan.scan_csv(run.spark, path, EVENTS)
+
+
 def s2_source_ordinal(run: Run) -> DataFrame:
     return scan.with_parquet_ordinal(fx.table(run.spark, run.sf_dir, "events")).select("row_id", "event_id")
 
@@ -197,7 +221,7 @@ def s6_result_source(run: Run) -> DataFrame:
     path = run.folder("results")
     tables.write_result(diagnostics.sample_summary(run.test, EVENTS), path, "sample_summary")
     tables.write_result(diagnostics.effect_table(run.events, EVENTS), path, "average_treatment_effects")
-    tables.register_results(run.spark, path)
+    tables.register_results(run.spark, path, names=("sample_summary", "average_treatment_effects"))
     return run.spark.sql(
         "SELECT e.outcome, e.estimate, s.value AS treated_rate FROM average_treatment_effects e "
         "JOIN sample_summary s ON s.metric = concat(e.outcome, '_rate') AND s.`group` = 'treated'"
@@ -340,10 +364,11 @@ def e1_category_levels_orders(run: Run) -> DataFrame:
 
 
 def e2_encode(run: Run) -> DataFrame:
-    # Levels come from a narrow slice of train, so some held-out values are unseen.
-    seen = run.split_events.where("split = 'train' AND f0 < 1").select(*EVENTS.categorical, "split")
-    levels = encoding.fit_category_levels(seen, EVENTS.categorical)
-    return encoding.apply_category_levels(run.test.select("row_id", *EVENTS.categorical), levels, EVENTS.categorical)
+    """Levels of all train rows; held-out rows also hold users that train has never seen."""
+    events = fx.table(run.spark, run.sf_dir, "events").select(F.col("event_id").alias("row_id"), "user_id")
+    users = assign_split(events, EVENTS)
+    levels = encoding.fit_category_levels(users.where("split = 'train'").select("user_id", "split"), ["user_id"])
+    return encoding.apply_category_levels(users.where("split = 'test'").select("row_id", "user_id"), levels, ["user_id"])
 
 
 def e3_cardinality(run: Run) -> DataFrame:
@@ -353,7 +378,8 @@ def e3_cardinality(run: Run) -> DataFrame:
 def e4_feature_vector(run: Run) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    return run.development_features.select("row_id", vector_to_array("features").alias("features"))
+    parts = vector_to_array("features")
+    return run.development_features.select("row_id", *[parts[i].alias(f"x{i}") for i in range(len(EVENTS.features))])
 
 
 # ------------------------------------------------------------ diagnostics
@@ -388,7 +414,7 @@ def a6_level_balance(run: Run) -> DataFrame:
 
 
 def a7_standardized_difference(run: Run) -> DataFrame:
-    """Differences by hour and event type; single-type groups have zero scale."""
+    """Conversion difference over its deviation per level of f1, with zero scales and differences put in by level."""
     from trialquota.functions.scores import standardized
 
     stats = run.events.groupBy("f1").agg(
@@ -410,9 +436,10 @@ def a8_balance_table(run: Run) -> DataFrame:
 
 def a9_treatment_auc(run: Run) -> DataFrame:
     rows = run.encoded_development
-    return boosting.treatment_auc(
+    area = boosting.treatment_auc(
         rows.where("split = 'train'"), rows.where("split = 'validation'"), EVENTS, run.levels, SMALL_TREES
     )
+    return area.select("positives", "negatives", share("auc"))
 
 
 def a10_roc_auc(run: Run) -> DataFrame:
@@ -444,24 +471,26 @@ def m1_select_rounds(run: Run) -> DataFrame:
     rounds, loss = boosting.select_rounds(
         arm.where("split = 'train'"), arm.where("split = 'validation'"), "conversion", "classifier", SMALL_TREES
     )
-    return run.spark.createDataFrame([("conversion_m1", rounds, loss)], "model string, selected_rounds int, validation_loss double")
+    found = run.spark.createDataFrame([("conversion_m1", rounds, loss)], "model string, selected_rounds int, validation_loss double")
+    return selected(found)
 
 
 def m2_fixed_rounds(run: Run) -> DataFrame:
     rows = run.development_features
     model = boosting.fit_rounds(rows.where("treatment = 1"), "conversion", "classifier", 3, SMALL_TREES)
-    return boosting.predict(model, rows, "mu1").agg(
-        F.lit(model.getNumTrees).alias("trees"), F.count(F.lit(1)).alias("rows"), F.avg("mu1").alias("mean_prediction")
+    scored = boosting.predict(model, rows, "mu1").select(share("mu1"))
+    return scored.agg(
+        F.lit(model.getNumTrees).alias("trees"), F.count(F.lit(1)).alias("rows"), F.bool_and("mu1_in_range").alias("all_in_range")
     )
 
 
 def m3_predict(run: Run) -> DataFrame:
     features = boosting.feature_frame(run.encoded_test, run.levels, EVENTS, SMALL_TREES)
-    return boosting.predict(run.bundle.models["visit_m1"], features, "mu1_visit").select("row_id", "mu1_visit")
+    return boosting.predict(run.bundle.models["visit_m1"], features, "mu1_visit").select("row_id", share("mu1_visit"))
 
 
 def m4_response_surfaces(run: Run) -> DataFrame:
-    return run.bundle.metadata.where("model <> 'dr_learner'").select("model", "selected_rounds", "validation_loss")
+    return selected(run.bundle.metadata.where("model <> 'dr_learner'").select("model", "selected_rounds", "validation_loss"))
 
 
 def m5_cross_fit(run: Run) -> DataFrame:
@@ -475,22 +504,25 @@ def m5_cross_fit_trees(run: Run) -> DataFrame:
     rounds = {"conversion_m0": 2, "conversion_m1": 2}
     rows = run.development_features.select("row_id", "features", "treatment", "conversion")
     scored = boosting.cross_fitted_pseudo(rows, "conversion", "treatment", EVENTS.propensity, rounds, SMALL_TREES)
-    return scored.select("row_id", "fold", "pseudo")
+    # |psi| is at most 1 + 1 / (1 - propensity) for predictions and outcomes within [0, 1].
+    bound = 1.0 + 1.0 / (1.0 - EVENTS.propensity)
+    return scored.select("row_id", "fold", (F.abs("pseudo") <= bound).alias("pseudo_in_range"))
 
 
 def m6_second_stage(run: Run) -> DataFrame:
-    return run.bundle.metadata.where("model = 'dr_learner'").select("model", "selected_rounds", "validation_loss")
+    return selected(run.bundle.metadata.where("model = 'dr_learner'").select("model", "selected_rounds", "validation_loss"))
 
 
 def m7_final_refit(run: Run) -> DataFrame:
     rows = [(name, model.getNumTrees) for name, model in run.bundle.models.items()]
     fitted = run.spark.createDataFrame(rows, "model string, trees int")
-    return fitted.join(run.bundle.metadata.select("model", "selected_rounds", "development_rows"), "model")
+    joined = fitted.join(run.bundle.metadata, "model")
+    return joined.select("model", (F.col("trees") == F.col("selected_rounds")).alias("trees_match"), "development_rows")
 
 
 def m8_nuisance_prediction(run: Run) -> DataFrame:
     features = boosting.feature_frame(run.encoded_test, run.levels, EVENTS, SMALL_TREES)
-    return run.bundle.predict_nuisance(features, "visit").select("row_id", "mu0_visit", "mu1_visit")
+    return run.bundle.predict_nuisance(features, "visit").select("row_id", share("mu0_visit"), share("mu1_visit"))
 
 
 def m9_policy_scores(run: Run) -> DataFrame:
@@ -498,11 +530,13 @@ def m9_policy_scores(run: Run) -> DataFrame:
 
 
 def m9_policy_scores_trees(run: Run) -> DataFrame:
-    return run.bundle.score(run.encoded_test, EVENTS).select("row_id", *SCORE_POLICIES)
+    scored = run.bundle.score(run.encoded_test, EVENTS)
+    gap = F.abs(F.col("t_learner") - (F.col("mu1_conversion") - F.col("mu0_conversion")))
+    return scored.select("row_id", share("response"), (gap < 1e-12).alias("t_learner_is_difference"), F.col("dr_learner").isNotNull().alias("dr_scored"))
 
 
 def m10_bundle_metadata(run: Run) -> DataFrame:
-    return run.bundle.metadata
+    return selected(run.bundle.metadata)
 
 
 def m11_cell_means(run: Run) -> DataFrame:
@@ -635,7 +669,14 @@ def b3_blocked_bootstrap(run: Run) -> DataFrame:
         run.scored, EVENTS.outcomes, CAPACITIES, replicates=BLOCKED_REPLICATES, seed=BOOTSTRAP_SEED,
         tie_seed=EVENTS.seed, ranking=run.ranking,
     )
-    return summary
+    error = F.col("bootstrap_standard_error")
+    flat = (F.col("estimand_type") == "contrast") & (F.col("capacity") == 1.0)
+    return summary.select(
+        "outcome", "capacity", "estimand_type", "name", "estimate", "bootstrap_replicates",
+        (F.col("ci_lower") <= F.col("ci_upper")).alias("interval_ordered"),
+        # At full capacity all policies choose everyone, so contrasts don't vary.
+        F.when(flat, F.abs(error) < 1e-9).otherwise(error > 0).alias("error_plausible"),
+    )
 
 
 def b4_replicate_contrasts(run: Run) -> DataFrame:
@@ -643,9 +684,8 @@ def b4_replicate_contrasts(run: Run) -> DataFrame:
 
 
 def b5_standard_errors(run: Run) -> DataFrame:
-    return run.hashed[1].groupBy("outcome", "capacity", "policy").agg(
-        F.stddev_samp("value").alias("bootstrap_standard_error")
-    )
+    values = run.hashed[0].where("estimand_type = 'policy_value'")
+    return values.select("outcome", "capacity", F.col("name").alias("policy"), "bootstrap_standard_error")
 
 
 def b6_percentile_interval(run: Run) -> DataFrame:
@@ -657,7 +697,7 @@ def b7_summary(run: Run) -> DataFrame:
 
 
 def b8_replicate_table(run: Run) -> DataFrame:
-    return stage(run.hashed[1].where("policy = 'dr_learner'"), "kept-replicates")
+    return stage(run.hashed[1], "kept-replicates")
 
 
 # ---------------------------------------------------------------- reports
@@ -719,26 +759,52 @@ def r11_qini_report(run: Run) -> DataFrame:
 
 
 def r12_model_report(run: Run) -> DataFrame:
-    return reports.model_report(run.bundle.metadata)
+    return selected(reports.model_report(run.bundle.metadata))
 
 
 # -------------------------------------------------------------- workflows
 
 
 def w1_prepare(run: Run) -> DataFrame:
-    return run.job_audit
+    """The audit; the area under the curve of the fitted classifier is shown as whether it can be right."""
+    area = F.col("metric") == "treatment_classifier_auc"
+    value = F.when(area, F.col("value").between(0, 1).cast("double")).otherwise(F.col("value"))
+    return run.job_audit.withColumn("value", value)
 
 
 def w2_train(run: Run) -> DataFrame:
-    return run.job_bundle.metadata
+    return selected(run.job_bundle.metadata)
 
 
 def w3_evaluate(run: Run) -> DataFrame:
-    return run.job_tables["policy_values"]
+    """All six tables: values where no fitted tree is involved, else the number of numbers under each key."""
+    tables = run.job_tables
+    exact = {
+        "sample_summary": (["metric", "group"], "value"),
+        "average_treatment_effects": (["outcome"], "estimate"),
+    }
+    counted = {
+        "policy_values": (["outcome", "name"], "estimate"),
+        "policy_contrasts": (["outcome", "name"], "estimate"),
+        "qini_coefficients": (["policy"], "coefficient"),
+        "qini_curves": (["policy"], "centered_qini"),
+    }
+    parts = [
+        tables[name].select(F.lit(name).alias("table"), F.concat_ws("|", *keys).alias("key"), F.col(value).cast("double").alias("value"))
+        for name, (keys, value) in exact.items()
+    ] + [
+        tables[name].groupBy(*keys).agg(F.count(value).cast("double").alias("value"))
+        .select(F.lit(name).alias("table"), F.concat_ws("|", *keys).alias("key"), "value")
+        for name, (keys, value) in counted.items()
+    ]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
 
 
 QUERIES: tuple[Callable[[Run], DataFrame], ...] = (
-    s1_csv_scan, s2_source_ordinal, s3_prepared_write, s4_prepared_read, s5_result_sink, s6_result_source,
+    s1_csv_scan, s2_csv_ordinal, s2_source_ordinal, s3_prepared_write, s4_prepared_read, s5_result_sink, s6_result_source,
     s7_bundle_round_trip,
     v1_header, v2_features_finite, v3_binary_domains, v4_control_unexposed, v5_conversion_implies_visit,
     v6_integrity, v6_integrity_orders, v7_row_count, v8_reconcile, v9_leakage_guards, v10_alignment,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.catalog import BOOTSTRAP_SEED, ORDER_STRATA, REPLICATES
+from checks.catalog import BLOCKED_REPLICATES, BOOTSTRAP_SEED, ORDER_STRATA, REPLICATES, SMALL_TREES
 from checks.fixture import (
     EVENTS, FOLD_SEED, FOLDS, ORDERS, OUTCOME_PURPOSE, TREATMENT_PURPOSE, VISIT_PURPOSE,
 )
@@ -441,11 +441,56 @@ def oracle_queries() -> dict[str, str]:
         for arm in (0, 1)
         for fold in range(FOLDS)
     )
-    narrow = level_codes("(SELECT * FROM split_rows WHERE split = 'train' AND f0 < 1)", EVENTS.categorical, "DOUBLE")
+    codes = level_codes("(SELECT * FROM split_rows WHERE split = 'train')", EVENTS.categorical, "DOUBLE")
+    code_of = lambda f: f"(SELECT * FROM ({codes}) WHERE feature = '{f}')"
+    cardinality = lambda f: f"(SELECT count(*) FROM {code_of(f)})"
+    users = with_split("(SELECT event_id AS row_id, user_id FROM events)", EVENTS.seed)
+    models = [f"{y}_m{arm}" for y in OUTCOMES for arm in (0, 1)]
+    fitted = lambda names: " UNION ALL ".join(
+        f"SELECT '{n}' AS model, true AS rounds_in_range, true AS loss_positive" for n in names
+    )
+    metadata = build(
+        "SELECT model, rounds_in_range, loss_positive, train_rows, validation_rows, train_rows + validation_rows AS development_rows, "
+        f"{E} AS propensity, {SMALL_TREES.folds}::BIGINT AS folds, {SMALL_TREES.seed}::BIGINT AS model_seed, "
+        f"{SMALL_TREES.fold_seed}::BIGINT AS fold_seed FROM ({fitted([*models, 'dr_learner'])}), "
+        "(SELECT count(*) FILTER (WHERE split = 'train') AS train_rows, count(*) FILTER (WHERE split = 'validation') AS validation_rows "
+        "FROM development)",
+        "development",
+    )
+    guards = " UNION ALL ".join(
+        f"SELECT '{g}' AS guard, {leaks} AS input_leaks, {leaks} AS refused"
+        for g in ("development_rows", "train_levels", "model_rows", "feature_only")
+        for leaks in ("false", "true")
+    )
+    audit = (
+        "SELECT 'header_matches' AS metric, 1.0::DOUBLE AS value, 'integrity_check' AS quantity_type, 'boolean' AS unit, "
+        "'complete_source' AS sample_scope UNION ALL "
+        "SELECT metric, value, CASE metric WHEN 'row_count' THEN 'sample_count' ELSE 'integrity_check' END, "
+        "CASE metric WHEN 'row_count' THEN 'rows' ELSE 'boolean' END, 'complete_source' FROM event_integrity UNION ALL "
+        "SELECT split || '_rows', \"rows\"::DOUBLE, 'sample_count', 'rows', split FROM split_counts UNION ALL "
+        "SELECT 'maximum_absolute_smd', round(max(absolute_value), 9) + 0.0::DOUBLE, 'descriptive_randomization_diagnostic', "
+        "'standardized_mean_difference', 'train_and_validation' FROM balance"
+    )
+    keys = lambda table, key, source, value: f"SELECT '{table}' AS \"table\", {key} AS key, {value} AS value FROM {source}"
+    names = lambda found: "(SELECT unnest([" + ", ".join(f"'{n}'" for n in found) + "]) AS name)"
+    outcome_names = lambda found: f"(SELECT unnest([{', '.join(repr(y) for y in OUTCOMES)}]) AS outcome), {names(found)}"
+    evaluated = " UNION ALL ".join(
+        [
+            keys("sample_summary", "concat_ws('|', metric, \"group\")", "sample_summary", "round(value, 9) + 0.0::DOUBLE"),
+            keys("average_treatment_effects", "outcome", "effects", "round(estimate, 9) + 0.0::DOUBLE"),
+            keys("policy_values", "outcome || '|' || name", outcome_names(POLICIES), f"{len(CAPACITIES)}::DOUBLE"),
+            keys("policy_contrasts", "outcome || '|' || name", outcome_names([c[0] for c in CONTRASTS]), f"{len(CAPACITIES)}::DOUBLE"),
+            keys("qini_coefficients", "name", names(SCORE_POLICIES), "1.0::DOUBLE"),
+            keys("qini_curves", "name", names(SCORE_POLICIES), "101.0::DOUBLE"),
+        ]
+    )
     values_text = build(f"SELECT {_policy_columns()} FROM policy_values", "policy_values")
     pivot = lambda names: ", ".join(f"max(cell) FILTER (WHERE name = '{n}') AS {n}" for n in names)
     return {
         "s1_csv_scan": build(f"SELECT {EVENT_COLUMNS} FROM experiment", "experiment"),
+        "s2_csv_ordinal": build(f"SELECT {EVENT_COLUMNS} FROM experiment", "experiment"),
+        "s7_bundle_round_trip": build("SELECT count(*) AS \"rows\", 0.0::DOUBLE AS largest_gap FROM test", "test"),
+        "v9_leakage_guards": guards,
         "s2_source_ordinal": "SELECT row_number() OVER () - 1 AS row_id, event_id FROM events",
         "s3_prepared_write": build(f"SELECT {EVENT_COLUMNS}, split FROM split_rows", "split_rows"),
         "s4_prepared_read": build(
@@ -506,11 +551,16 @@ def oracle_queries() -> dict[str, str]:
         "e1_category_levels_orders": build(
             level_codes("(SELECT * FROM split_orders WHERE split = 'train')", ORDERS.categorical, "VARCHAR"), "split_orders"
         ),
-        "e2_encode": build(
-            f"SELECT row_id, c1.code AS f1, c3.code AS f3 FROM test t "
-            f"LEFT JOIN (SELECT * FROM ({narrow}) WHERE feature = 'f1') c1 ON t.f1 = c1.level "
-            f"LEFT JOIN (SELECT * FROM ({narrow}) WHERE feature = 'f3') c3 ON t.f3 = c3.level",
-            "test",
+        "e2_encode": (
+            f"WITH users AS MATERIALIZED ({users}) SELECT u.row_id, c.code AS user_id FROM users u LEFT JOIN "
+            "(SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS code FROM "
+            "(SELECT DISTINCT user_id FROM users WHERE split = 'train')) c ON u.user_id = c.user_id WHERE u.split = 'test'"
+        ),
+        "e4_feature_vector": build(
+            f"SELECT row_id, {r('f0', 'x0')}, {r('f2', 'x1')}, coalesce(c1.code, {cardinality('f1')})::DOUBLE AS x2, "
+            f"coalesce(c3.code, {cardinality('f3')})::DOUBLE AS x3 FROM development d "
+            f"LEFT JOIN {code_of('f1')} c1 ON d.f1 = c1.level LEFT JOIN {code_of('f3')} c3 ON d.f3 = c3.level",
+            "development",
         ),
         "e3_cardinality": build(
             " UNION ALL ".join(
@@ -554,19 +604,34 @@ def oracle_queries() -> dict[str, str]:
         "a10_roc_auc_continuous": build(
             f"SELECT {r('auc')}, positives, negatives FROM ({auc('order_rows', 'o_totalprice', 'conversion')})", "order_rows"
         ),
-        "a11_audit_table": build(
-            "SELECT 'header_matches' AS metric, 1.0::DOUBLE AS value, 'integrity_check' AS quantity_type, 'boolean' AS unit, "
-            "'complete_source' AS sample_scope UNION ALL "
-            "SELECT metric, value, CASE metric WHEN 'row_count' THEN 'sample_count' ELSE 'integrity_check' END, "
-            "CASE metric WHEN 'row_count' THEN 'rows' ELSE 'boolean' END, 'complete_source' FROM event_integrity UNION ALL "
-            "SELECT split || '_rows', \"rows\"::DOUBLE, 'sample_count', 'rows', split FROM split_counts UNION ALL "
-            f"SELECT 'maximum_absolute_smd', round(max(absolute_value), 9) + 0.0::DOUBLE, 'descriptive_randomization_diagnostic', "
-            "'standardized_mean_difference', 'train_and_validation' FROM balance",
-            "event_integrity", "split_counts", "balance",
+        "a9_treatment_auc": build(
+            "SELECT count(*) FILTER (WHERE treatment = 1) AS positives, count(*) FILTER (WHERE treatment = 0) AS negatives, "
+            "true AS auc_in_range FROM development WHERE split = 'validation'",
+            "development",
         ),
+        "a11_audit_table": build(audit, "event_integrity", "split_counts", "balance"),
         "a12_raw_difference": build(
             f"SELECT 'conversion' AS outcome, {r(arm_mean('conversion', 1) + ' - ' + arm_mean('conversion', 0), 'difference')} FROM test", "test"
         ),
+        "m1_select_rounds": fitted(["conversion_m1"]),
+        "m2_fixed_rounds": build(
+            "SELECT 3::BIGINT AS trees, count(*) AS \"rows\", true AS all_in_range FROM development", "development"
+        ),
+        "m3_predict": build("SELECT row_id, true AS mu1_visit_in_range FROM test", "test"),
+        "m4_response_surfaces": fitted(models),
+        "m5_cross_fit_trees": build("SELECT row_id, fold, true AS pseudo_in_range FROM folded", "folded"),
+        "m6_second_stage": fitted(["dr_learner"]),
+        "m7_final_refit": build(
+            f"SELECT model, true AS trees_match, (SELECT count(*) FROM development) AS development_rows FROM ({fitted([*models, 'dr_learner'])})",
+            "development",
+        ),
+        "m8_nuisance_prediction": build(
+            "SELECT row_id, true AS mu0_visit_in_range, true AS mu1_visit_in_range FROM test", "test"
+        ),
+        "m9_policy_scores_trees": build(
+            "SELECT row_id, true AS response_in_range, true AS t_learner_is_difference, true AS dr_scored FROM test", "test"
+        ),
+        "m10_bundle_metadata": metadata,
         "m5_cross_fit": build(f"SELECT row_id, fold, {r('pseudo')} FROM pseudo_rows", "pseudo_rows"),
         "m9_policy_scores": build(
             "SELECT row_id, " + ", ".join(r(p) for p in SCORE_POLICIES) + " FROM scored", "scored"
@@ -634,6 +699,11 @@ def oracle_queries() -> dict[str, str]:
         "b3_replicate_values": build(
             f"SELECT replicate, outcome, capacity, policy, {r('value')} FROM replicates", "replicates"
         ),
+        "b3_blocked_bootstrap": build(
+            f"SELECT outcome, capacity, estimand_type, name, {r('estimate')}, {BLOCKED_REPLICATES}::BIGINT AS bootstrap_replicates, "
+            "true AS interval_ordered, true AS error_plausible FROM summary",
+            "summary",
+        ),
         "b4_replicate_contrasts": build(
             f"SELECT replicate, outcome, capacity, name, {r('value')} FROM replicate_contrasts", "replicate_contrasts"
         ),
@@ -651,7 +721,7 @@ def oracle_queries() -> dict[str, str]:
             f"SELECT outcome, capacity, estimand_type, name, {SUMMARY_NUMBERS}, bootstrap_replicates FROM summary", "summary"
         ),
         "b8_replicate_table": build(
-            f"SELECT replicate, outcome, capacity, policy, {r('value')} FROM replicates WHERE policy = 'dr_learner'", "replicates"
+            f"SELECT replicate, outcome, capacity, policy, {r('value')} FROM replicates", "replicates"
         ),
         "r1_policy_values": values_text,
         "r1_policy_contrasts": build(f"SELECT {_policy_columns()} FROM policy_contrasts", "policy_contrasts"),
@@ -720,4 +790,12 @@ def oracle_queries() -> dict[str, str]:
             f"SELECT {position_case('policy', POLICY_LABELS)} AS position, policy, {r('coefficient * 10000', 'coefficient_scaled')} FROM coefficients",
             "coefficients",
         ),
+        "r12_model_report": fitted([*models, "dr_learner"]),
+        "w1_prepare": build(
+            audit + " UNION ALL SELECT 'treatment_classifier_auc', 1.0::DOUBLE, 'descriptive_randomization_diagnostic', 'auc', "
+            "'train_to_validation'",
+            "event_integrity", "split_counts", "balance",
+        ),
+        "w2_train": metadata,
+        "w3_evaluate": build(evaluated, "sample_summary", "effects"),
     }

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from trialquota.operators import encoding, integrity
+from trialquota.operators import diagnostics, encoding, integrity
 from trialquota.spec import ExperimentSpec
 
 SPEC = ExperimentSpec(continuous=("x",), categorical=("g",))
@@ -105,7 +105,39 @@ def test_result_table_guards(spark):
 
 def test_feature_vector_marks_nominal_columns(spark):
     rows = spark.createDataFrame([(1.5, 0, 7), (2.5, None, 3)], "x double, g int, wide int")
-    out = encoding.feature_vector(rows, ["x"], ["g", "wide"], {"g": 2, "wide": 100}, 16)
+    out = encoding.feature_vector(rows, ["x"], ["g", "wide"], {"g": 2, "wide": 100})
     assert [list(r.features) for r in out.orderBy("x").collect()] == [[1.5, 0.0, 7.0], [2.5, 2.0, 3.0]]
     attributes = out.schema["features"].metadata["ml_attr"]["attrs"]
-    assert [a["name"] for a in attributes["nominal"]] == ["_x_g"]
+    assert [a["name"] for a in attributes["nominal"]] == ["_x_g", "_x_wide"]
+    assert encoding.nominal_values(out) == 101
+
+
+def test_levels_keep_their_type(spark):
+    from datetime import date
+
+    big = 2**53
+    rows = [(big, date(2024, 1, 1), True, -0.0, "NaN"), (big + 1, date(2024, 1, 2), False, 0.0, "a"), (None, None, None, float("nan"), None)]
+    df = spark.createDataFrame(rows, "n long, d date, b boolean, x double, t string")
+    for feature, wanted in (("n", [big, big + 1]), ("d", [date(2024, 1, 1), date(2024, 1, 2)]), ("b", [False, True]), ("x", [0.0]), ("t", ["NaN", "a"])):
+        levels = encoding.fit_category_levels(df.select(feature), [feature])
+        assert [r.level for r in levels.orderBy("code").collect()] == wanted
+        codes = [r[0] for r in encoding.apply_category_levels(df.select(feature), levels, [feature]).collect()]
+        assert sorted(c for c in codes if c is not None) == sorted([0, 0] if feature == "x" else [0, 1])
+    mixed = encoding.fit_category_levels(df, ["n", "d", "b", "x", "t"])
+    applied = encoding.apply_category_levels(df, mixed, ["n", "d", "b", "x", "t"]).collect()
+    assert sorted((r.n, r.d, r.x) for r in applied if r.n is not None) == [(0, 0, 0), (1, 1, 0)]
+    assert [tuple(r) for r in applied if r.n is None] == [(None,) * 5]
+
+
+def test_nan_is_no_level_beside_text(spark):
+    rows = [(1, float("nan"), "a"), (1, 1.0, "b"), (0, float("nan"), "a"), (0, 1.0, "b")]
+    df = spark.createDataFrame(rows, "treatment int, n double, t string")
+    found = {(r.feature, r.level) for r in diagnostics.level_balance(df, ["n", "t"], "treatment").collect()}
+    assert found == {("n", "1.0"), ("t", "a"), ("t", "b")}
+
+
+def test_default_implications_follow_the_outcomes():
+    from trialquota.spec import ExperimentSpec
+
+    assert ExperimentSpec(continuous=("x",), categorical=()).implications == (("conversion", "visit"),)
+    assert ExperimentSpec(continuous=("x",), categorical=(), outcomes=("sale",)).implications == ()

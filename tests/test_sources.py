@@ -2,6 +2,7 @@ import gzip
 import os
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from trialquota.sources import prepared, scan, staging, tables
@@ -45,6 +46,41 @@ def test_ordinal_spans_files_and_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_ids_do_not_depend_on_how_files_are_packed(spark, tmp_path):
+    folder = tmp_path / "packed"
+    os.makedirs(folder)
+    value = 0
+    for number in range(12):
+        with open(folder / f"part-{number:02}.csv", "w") as out:
+            out.write(HEADER + "\n")
+            for _ in range(10 + 9 * number):
+                out.write(f"{float(value)},0,1,0,1,0\n")
+                value += 1
+    names = ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "12")
+        df = scan.scan_csv(spark, str(folder), SPEC)
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "900b")
+        assert df.where(F.col("row_id") != F.col("x")).count() == 0
+        assert df.agg(F.min("row_id"), F.max("row_id"), F.count_distinct("row_id")).first() == (0, value - 1, value)
+    finally:
+        for name, setting in before.items():
+            spark.conf.unset(name) if setting is None else spark.conf.set(name, setting)
+
+
+def test_every_file_header_is_checked(spark, tmp_path):
+    folder = tmp_path / "headers"
+    os.makedirs(folder)
+    for number, header in enumerate((HEADER, "g,x,treatment,conversion,visit,exposure")):
+        with open(folder / f"part-{number}.csv", "w") as out:
+            out.write(header + "\n1,2,1,0,1,0\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        scan.scan_csv(spark, str(folder), SPEC)
+
+
 def test_parquet_ordinal(spark, tmp_path):
     path = str(tmp_path / "rows")
     spark.range(0, 1000, 1, 7).write.parquet(path)
@@ -101,8 +137,10 @@ def test_result_tables_round_trip(spark, tmp_path, fmt):
     folder = str(tmp_path / fmt)
     tables.write_result(rows, folder, "qini_coefficients", fmt)
     assert tables.read_result(spark, folder, "qini_coefficients", fmt).collect() == rows.collect()
-    assert tables.register_results(spark, folder, fmt) == ["qini_coefficients"]
+    assert tables.register_results(spark, folder, fmt, ["qini_coefficients"]) == ["qini_coefficients"]
     assert spark.sql("SELECT coefficient FROM qini_coefficients").first().coefficient == 0.25
+    with pytest.raises(AnalysisException):
+        tables.register_results(spark, folder, fmt)
     with pytest.raises(ValueError, match="unknown result table"):
         tables.write_result(rows, folder, "other")
 

@@ -39,6 +39,21 @@ def nan_to_null(value: Column) -> Column:
     return F.nanvl(value.cast("double"), F.lit(None).cast("double"))
 
 
+def level_value(value: Column, kind: str) -> Column:
+    """A category value in its own type; negative zero is zero and NaN is no level."""
+    if kind not in ("double", "float"):
+        return value
+    number = nan_to_null(value)
+    return F.when(number == 0, F.lit(0.0)).otherwise(number)
+
+
+def level_family(kind: str) -> str:
+    """Type in which levels of a column type are compared."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return "bigint"
+    return "double" if kind in ("double", "float") else kind
+
+
 def standardized(difference: Column, scale: Column) -> Column:
     """difference / scale, with 0 or signed infinity where the scale is zero."""
     infinite = F.when(difference > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))

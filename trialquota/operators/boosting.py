@@ -7,6 +7,7 @@ cluster idle.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from multiprocessing.pool import ThreadPool
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialquota.functions.scores import aipw_score
 from trialquota.operators.diagnostics import roc_auc
-from trialquota.operators.encoding import feature_vector, level_counts
+from trialquota.operators.encoding import feature_vector, level_counts, nominal_values
 from trialquota.operators.integrity import (
     require_development_rows,
     require_feature_only,
@@ -51,13 +52,13 @@ class BoostingParams:
 def feature_frame(df: DataFrame, levels: DataFrame, spec: ExperimentSpec, params: BoostingParams) -> DataFrame:
     """Add ``features`` to encoded rows, in declared feature order."""
     sizes = {row.feature: row.cardinality for row in level_counts(levels).collect()}
-    return feature_vector(df, spec.continuous, spec.categorical, sizes, params.max_bins)
+    return feature_vector(df, spec.continuous, spec.categorical, sizes)
 
 
-def _learner(kind: str, label: str, rounds: int, params: BoostingParams):
+def _learner(kind: str, label: str, rounds: int, params: BoostingParams, bins: int):
     shared = dict(
         featuresCol="features", labelCol=label, maxIter=rounds, stepSize=params.step, maxDepth=params.depth,
-        minInstancesPerNode=params.min_rows, maxBins=params.max_bins, subsamplingRate=1.0,
+        minInstancesPerNode=params.min_rows, maxBins=bins, subsamplingRate=1.0,
         featureSubsetStrategy="all", seed=params.seed,
     )
     return GBTClassifier(lossType="logistic", **shared) if kind == "classifier" else GBTRegressor(lossType="squared", **shared)
@@ -75,8 +76,9 @@ def best_round(losses: Sequence[float], patience: int) -> int:
 
 
 def fit_rounds(df: DataFrame, label: str, kind: str, rounds: int, params: BoostingParams):
-    """Fit exactly ``rounds`` trees."""
-    return _learner(kind, label, rounds, params).fit(df.select("features", F.col(label).cast("double").alias(label)))
+    """Fit exactly ``rounds`` trees, with a bin for every category."""
+    bins = max(params.max_bins, nominal_values(df))
+    return _learner(kind, label, rounds, params, bins).fit(df.select("features", F.col(label).cast("double").alias(label)))
 
 
 def select_rounds(
@@ -150,6 +152,7 @@ class ModelBundle:
     metadata: DataFrame
     levels: DataFrame
     params: BoostingParams
+    contract: dict
 
     def predict_nuisance(self, df: DataFrame, outcome: str) -> DataFrame:
         for arm in (0, 1):
@@ -226,7 +229,16 @@ def fit_bundle(
         "model string, selected_rounds int, validation_loss double, train_rows long, validation_rows long, "
         "development_rows long, propensity double, folds int, model_seed long, fold_seed long",
     )
-    return ModelBundle(models, spec.outcomes, metadata, levels, params)
+    return ModelBundle(models, spec.outcomes, metadata, levels, params, feature_contract(spec, params))
+
+
+def feature_contract(spec: ExperimentSpec, params: BoostingParams) -> dict:
+    """What a saved bundle was fitted on; scoring under anything else would be silently wrong."""
+    return {
+        "continuous": list(spec.continuous), "categorical": list(spec.categorical), "outcomes": list(spec.outcomes),
+        "treatment": spec.treatment, "propensity": spec.propensity, "split_seed": str(spec.seed),
+        "folds": params.folds, "model_seed": params.seed, "fold_seed": params.fold_seed,
+    }
 
 
 def save_bundle(bundle: ModelBundle, path: str) -> None:
@@ -234,6 +246,8 @@ def save_bundle(bundle: ModelBundle, path: str) -> None:
         model.write().overwrite().save(f"{path}/models/{name}")
     bundle.metadata.coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
     bundle.levels.write.mode("overwrite").parquet(f"{path}/levels")
+    lines = bundle.metadata.sparkSession.createDataFrame([(json.dumps(bundle.contract),)], "value string")
+    lines.coalesce(1).write.mode("overwrite").text(f"{path}/contract")
 
 
 def load_bundle(spark: SparkSession, path: str, spec: ExperimentSpec, params: BoostingParams) -> ModelBundle:
@@ -244,9 +258,13 @@ def load_bundle(spark: SparkSession, path: str, spec: ExperimentSpec, params: Bo
         raise ValueError("saved models do not match the experiment")
     if metadata.where(F.col("propensity") != spec.propensity).limit(1).count():
         raise ValueError("saved propensity does not match the experiment")
+    contract, wanted = json.loads(spark.read.text(f"{path}/contract").first().value), feature_contract(spec, params)
+    differing = sorted(k for k in wanted if contract.get(k) != wanted[k])
+    if differing:
+        raise ValueError(f"saved models were fitted under another contract: {differing}")
     reader = lambda name: GBTRegressionModel if name == "dr_learner" else GBTClassificationModel
     models = {name: reader(name).load(f"{path}/models/{name}") for name in names}
-    return ModelBundle(models, spec.outcomes, metadata, spark.read.parquet(f"{path}/levels"), params)
+    return ModelBundle(models, spec.outcomes, metadata, spark.read.parquet(f"{path}/levels"), params, contract)
 
 
 def treatment_auc(

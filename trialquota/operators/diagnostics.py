@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from trialquota.functions.scores import is_finite, nan_to_null, normal_quantile, standardized
+from trialquota.functions.scores import level_family, level_value, is_finite, nan_to_null, normal_quantile, standardized
 from trialquota.operators.integrity import require_development_rows
 from trialquota.operators.ranking import rank_rows
 from trialquota.sources.staging import stage
@@ -136,8 +136,9 @@ def level_balance(df: DataFrame, features: Sequence[str], treatment: str) -> Dat
     share 0 there.  NULL and NaN are not levels.
     """
     kinds = dict(df.dtypes)
-    text = any(kinds[f] == "string" for f in features)
-    level = lambda f: F.col(f).cast("string") if text else nan_to_null(F.col(f))
+    families = {level_family(kinds[f]) for f in features}
+    shown = families.pop() if len(families) == 1 else "string"
+    level = lambda f: level_value(F.col(f), kinds[f]).cast(shown)
     counted = (
         df.select(F.col(treatment).eqNullSafe(1).alias("_t"), *[level(f).alias(f) for f in features])
         .unpivot(["_t"], list(features), "feature", "level")

@@ -7,49 +7,47 @@ from collections.abc import Sequence
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
-from trialquota.functions.scores import finite_or_null
+from trialquota.functions.scores import is_finite, level_family, level_value
 from trialquota.operators.integrity import require_train_rows
 from trialquota.operators.ranking import rank_rows
 from trialquota.sources.staging import broadcast_if_small, stage
 
 
-def _level(df: DataFrame, feature: str):
-    """Comparable level of one feature; NULL for values that are never levels."""
-    kind = dict(df.dtypes)[feature]
-    return F.col(feature) if kind == "string" else finite_or_null(F.col(feature))
+def _kinds(df: DataFrame, features: Sequence[str]) -> dict[str, str]:
+    kinds = dict(df.dtypes)
+    return {f: kinds[f] for f in features}
 
 
-def _by_kind(df: DataFrame, features: Sequence[str]) -> list[list[str]]:
-    text = [f for f in features if dict(df.dtypes)[f] == "string"]
-    return [group for group in ([f for f in features if f not in text], text) if group]
+def _level(feature: str, kind: str):
+    """Level of one feature in its own type; NULL for values that are never levels."""
+    level = level_value(F.col(feature), kind).cast(level_family(kind))
+    return F.when(is_finite(level), level) if level_family(kind) == "double" else level
 
 
 def fit_category_levels(train: DataFrame, features: Sequence[str]) -> DataFrame:
     """``(feature, level, code)``: sorted distinct levels, codes from 0 per feature.
 
     Duplicates collapse before the shuffle, and codes come from the distributed
-    rank, so a feature with very many levels never lands in one task.  ``level``
-    is a double, or a string as soon as one feature is text.
+    rank, so a feature with very many levels never lands in one task.  Levels
+    keep their type, so whole numbers of any size and dates stay exact; they are
+    ranked in it and shown as strings only when features of several types meet.
     """
     require_train_rows(train)
-    groups = _by_kind(train, features)
-    as_text = any(dict(train.dtypes)[f] == "string" for f in features)
+    kinds = _kinds(train, features)
+    families = sorted({level_family(k) for k in kinds.values()})
     parts = []
-    for group in groups:
+    for family in families:
+        group = [f for f in features if level_family(kinds[f]) == family]
         levels = (
-            train.select(*[_level(train, f).alias(f) for f in group])
+            train.select(*[_level(f, kinds[f]).alias(f) for f in group])
             .unpivot([], group, "feature", "level")
             .where(F.col("level").isNotNull())
             .distinct()
         )
-        ranked = rank_rows(levels, ["feature"], [F.col("level").asc()], label="levels").rows
-        parts.append(
-            ranked.select(
-                "feature",
-                F.col("level").cast("string").alias("level") if as_text else F.col("level"),
-                (F.col("rank") - 1).cast("int").alias("code"),
-            )
-        )
+        # Few levels are left of many rows: written first, ranking them sorts no rows.
+        ranked = rank_rows(stage(levels, "distinct-levels"), ["feature"], [F.col("level").asc()], label="levels").rows
+        shown = F.col("level") if len(families) == 1 else F.col("level").cast("string")
+        parts.append(ranked.select("feature", shown.alias("level"), (F.col("rank") - 1).cast("int").alias("code")))
     levels = parts[0]
     for part in parts[1:]:
         levels = levels.unionByName(part)
@@ -67,15 +65,16 @@ def apply_category_levels(df: DataFrame, levels: DataFrame, features: Sequence[s
     only after its size is known; a larger one is joined by shuffle.
     """
     sizes = {row.feature: row.cardinality for row in level_counts(levels).collect()}
-    text_levels = dict(levels.dtypes)["level"] == "string"
+    kinds = _kinds(df, features)
+    shown = dict(levels.dtypes)["level"]
     encoded = df
     for feature in features:
-        level = _level(df, feature)
+        level = _level(feature, kinds[feature])
         lookup = levels.where(F.col("feature") == feature).select(
             F.col("level").alias("_level"), F.col("code").alias("_code")
         )
         encoded = (
-            encoded.withColumn("_level", level.cast("string") if text_levels else level)
+            encoded.withColumn("_level", level.cast("string") if shown == "string" else level)
             .join(broadcast_if_small(lookup, sizes.get(feature, 0)), "_level", "left")
             .drop("_level")
             .withColumn(feature, F.col("_code"))
@@ -89,23 +88,26 @@ def feature_vector(
     continuous: Sequence[str],
     categorical: Sequence[str],
     cardinality: dict[str, int],
-    max_bins: int,
     out: str = "features",
 ) -> DataFrame:
     """Continuous features, then category codes, as one ML vector.
 
-    NULL codes take an extra code after the known ones.  Features with more
-    codes than ``max_bins`` are left as ordered numbers, which the tree learner
-    bins like any continuous feature; the codes themselves stay exact.
+    NULL codes take an extra code after the known ones.  Every category is
+    nominal, whatever its number of levels; ``nominal_values`` tells how many
+    bins a tree learner needs for that.
     """
     columns = [F.col(f).cast("double").alias(f"_x_{f}") for f in continuous]
     for feature in categorical:
         values = cardinality.get(feature, 0) + 1
-        attribute = {"name": f"_x_{feature}", "type": "numeric"}
-        if values <= max_bins:
-            attribute = {"name": f"_x_{feature}", "type": "nominal", "num_vals": max(values, 2)}
+        attribute = {"name": f"_x_{feature}", "type": "nominal", "num_vals": max(values, 2)}
         code = F.coalesce(F.col(feature), F.lit(values - 1)).cast("double")
         columns.append(code.alias(f"_x_{feature}", metadata={"ml_attr": attribute}))
     names = [f"_x_{f}" for f in (*continuous, *categorical)]
     assembled = VectorAssembler(inputCols=names, outputCol=out).transform(df.select("*", *columns))
     return assembled.drop(*names)
+
+
+def nominal_values(df: DataFrame, features: str = "features") -> int:
+    """Largest number of values of a nominal part of the feature vector."""
+    parts = df.schema[features].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal", [])
+    return max((part.get("num_vals") or len(part.get("vals", ())) for part in parts), default=0)

@@ -18,7 +18,7 @@ from trialquota.operators.ranking import rank_policies
 from trialquota.operators.splits import assign_split, split_counts
 from trialquota.functions.scores import transformed_outcome
 from trialquota.plans.reports import policy_tables
-from trialquota.sources.prepared import read_prepared, write_prepared
+from trialquota.sources.prepared import is_prepared, read_prepared, write_prepared
 from trialquota.sources.staging import stage
 from trialquota.sources.tables import write_result
 from trialquota.spec import CAPACITIES, SCORE_POLICIES, SPLITS, ExperimentSpec
@@ -39,18 +39,23 @@ def run_prepare(
     source: DataFrame, spec: ExperimentSpec, paths: Paths, auc_params: BoostingParams, expected_rows: int | None = None,
     fmt: str = "parquet",
 ) -> DataFrame:
-    """Check, split and write the source; report balance and the data audit."""
+    """Check, split and write the source; report balance and the data audit.
+
+    A prepared table that is already finished is used again, so the job can be
+    repeated after a later step failed.
+    """
     spark = source.sparkSession
     ordered = source.select(spec.row_id, *spec.source_columns)
     checked = validate_source(ordered, spec, expected_rows)
-    write_prepared(assign_split(ordered, spec), paths.prepared)
+    if not is_prepared(spark, paths.prepared):
+        write_prepared(assign_split(ordered, spec), paths.prepared)
 
     counts = stage(split_counts(read_prepared(spark, paths.prepared, columns=["split"])), "split-counts")
     if not reconcile_splits(counts, checked["row_count"]).first().matches:
         raise RuntimeError("split row counts do not match the validated source")
     train = read_prepared(spark, paths.prepared, ["train"])
     levels = fit_category_levels(train.select(*spec.categorical, "split"), spec.categorical)
-    levels.write.mode("errorifexists").parquet(f"{paths.models}/category_levels")
+    levels.write.mode("overwrite").parquet(f"{paths.models}/category_levels")
 
     columns = [spec.row_id, *spec.features, spec.treatment, "split"]
     development = read_prepared(spark, paths.prepared, ["train", "validation"], columns)

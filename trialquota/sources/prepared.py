@@ -14,7 +14,7 @@ ROW_GROUP_ROWS = 500_000
 def write_prepared(
     df: DataFrame, path: str, row_group_rows: int = ROW_GROUP_ROWS, rebalance: bool = False
 ) -> None:
-    """Write once, partitioned by ``split``; an existing table is an error.
+    """Write once, partitioned by ``split``; an existing table is an error unless its job broke off.
 
     Without ``rebalance`` tasks write where they read: no shuffle, one file per
     task and split.  With it, rows are exchanged to even file sizes, and large
@@ -25,11 +25,17 @@ def write_prepared(
         rows.write.partitionBy("split")
         .option("compression", "zstd")
         .option("parquet.block.row.count.limit", row_group_rows)
-        .mode("errorifexists")
+        .mode("errorifexists" if is_prepared(df.sparkSession, path) else "overwrite")
         .parquet(path)
     )
 
 
+def is_prepared(spark: SparkSession, path: str) -> bool:
+    """Whether a finished prepared table is there; a job that broke off leaves no mark."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 def read_prepared(
     spark: SparkSession, path: str, splits: Sequence[str] = SPLITS, columns: Sequence[str] | None = None,
     ordered_by: str | None = None,

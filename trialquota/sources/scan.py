@@ -30,8 +30,10 @@ def scan_csv(
 ) -> DataFrame:
     """Scan CSV (plain or compressed) with the declared types and a zero-based row id.
 
-    A malformed value fails the job.  Whole-gzip files cannot be split; pass
-    ``partitions`` to spread their rows before further work.
+    A malformed value, or a file whose header differs, fails the job: every
+    column is read while the rows are written, so each file's header is checked.
+    Whole-gzip files cannot be split; pass ``partitions`` to spread their rows
+    before further work.
     """
     check_header(spark, path, spec)
     scan = (
@@ -48,14 +50,19 @@ def scan_csv(
 def with_source_ordinal(df: DataFrame, out: str = "row_id") -> DataFrame:
     """Number rows from 0 in source order (file path, then position in the file).
 
-    ``df`` must read files directly.  Each file split gets its row count once;
-    running totals over splits give every split its first number.
+    ``df`` must read files directly.  The rows are written once with their
+    position, so ids don't depend on how a later job would pack the files into
+    tasks, and compressed files are read once.  Each file split gets its row
+    count; running totals over splits give every split its first number.
     """
-    tagged = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_at"),
+    tagged = stage(
+        df.select(
+            "*",
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_at"),
+        ),
+        "source-rows",
     )
     counts = tagged.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     # One row per file split, whatever the number of rows.

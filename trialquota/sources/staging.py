@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
 
 _local_dirs: dict[str, str] = {}
 
@@ -52,11 +53,16 @@ def drop_staged(spark: SparkSession) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's estimate of the size of ``df``; for written tables it follows the files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only when its row count is known to be small.
+    """Mark ``df`` for broadcast only when its row count and its size are known to be small.
 
     ``df`` should be staged or cheap to count.  Beyond the limit it is returned
     as it is and the join shuffles, with adaptive skew handling.
     """
     count = df.limit(limit + 1).count() if rows is None else rows
-    return F.broadcast(df) if count <= limit else df
+    return F.broadcast(df) if count <= limit and planned_bytes(df) <= BROADCAST_BYTES else df

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Column types of the result tables, as written and read back.
@@ -47,16 +49,10 @@ def read_result(spark: SparkSession, directory: str, name: str, fmt: str = "parq
     return spark.read.parquet(path)
 
 
-def register_results(spark: SparkSession, directory: str, fmt: str = "parquet") -> list[str]:
-    """Expose every result table present in ``directory`` as a temporary view."""
-    found = []
-    for name in SCHEMAS:
-        try:
-            table = read_result(spark, directory, name, fmt)
-        except Exception as error:  # a table another command writes may not exist yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            continue
-        table.createOrReplaceTempView(name)
-        found.append(name)
-    return found
+def register_results(
+    spark: SparkSession, directory: str, fmt: str = "parquet", names: Sequence[str] = tuple(SCHEMAS)
+) -> list[str]:
+    """Expose the result tables ``names`` in ``directory`` as temporary views; a missing one is an error."""
+    for name in names:
+        read_result(spark, directory, name, fmt).createOrReplaceTempView(name)
+    return list(names)

@@ -19,6 +19,8 @@ CONTRASTS = (
     ("dr_learner_minus_response", "dr_learner", "response"),
 )
 
+IMPLICATIONS = (("conversion", "visit"),)
+
 MAX_SEED = (1 << 64) - 1
 
 
@@ -34,7 +36,8 @@ class ExperimentSpec:
     """Column roles and fixed parameters of a randomized experiment.
 
     ``outcomes[0]`` is the outcome the targeting scores are trained on.
-    ``implications`` lists ``(a, b)`` pairs of outcomes where a=1 requires b=1.
+    ``implications`` lists ``(a, b)`` pairs of outcomes where a=1 requires b=1;
+    by default the known pairs among ``outcomes``.
     """
 
     continuous: tuple[str, ...]
@@ -45,7 +48,7 @@ class ExperimentSpec:
     exposure: str = "exposure"
     propensity: float = PROPENSITY
     seed: int = SEED
-    implications: tuple[tuple[str, str], ...] = (("conversion", "visit"),)
+    implications: tuple[tuple[str, str], ...] | None = None
     source_order: tuple[str, ...] = ()
     bucket_count: int = 10
     split_buckets: tuple[tuple[str, tuple[int, ...]], ...] = (
@@ -60,6 +63,9 @@ class ExperimentSpec:
             raise ValueError("seed must be an unsigned 64-bit value")
         if not self.outcomes:
             raise ValueError("at least one outcome is required")
+        if self.implications is None:
+            known = tuple(pair for pair in IMPLICATIONS if set(pair) <= set(self.outcomes))
+            object.__setattr__(self, "implications", known)
         buckets = sorted(b for _, group in self.split_buckets for b in group)
         if buckets != list(range(self.bucket_count)):
             raise ValueError("split buckets must partition the bucket range")
