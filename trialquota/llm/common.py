@@ -62,6 +62,11 @@ def stage(df: DataFrame, label: str, **checks: Column) -> Staged:
     return Staged(spark.read.schema(df.schema).parquet(path), path, seen.get["rows"])
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns as one struct ``row``, so that no name of theirs can clash; ``row.*`` unpacks it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def text_key(text: Column) -> list[Column]:
     """128 bits that identify a text, as two longs; null counts as empty."""
     text = F.coalesce(text, F.lit(""))

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trialquota.llm.common import Staged, stage, text_key
+from trialquota.llm.common import Staged, packed, stage, text_key
 from trialquota.llm.simhash import LOWER, UPPER
 
 #: Runs of ASCII characters that are neither letters nor digits.
@@ -145,6 +145,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
         F.col("doc_id").alias("_d"), F.col("_k1").alias("_b1"), F.col("_k2").alias("_b2")
     )
     bad = stage(bad.distinct(), "contaminated")
-    k1, k2 = text_key(F.col(text))
-    match = docs[doc_id].eqNullSafe(F.col("_d")) & (k1 == F.col("_b1")) & (k2 == F.col("_b2"))
-    return docs.join(bad.for_broadcast(), match, "left_anti")
+    rows = packed(docs)
+    k1, k2 = text_key(F.col(f"row.{text}"))
+    match = F.col(f"row.{doc_id}").eqNullSafe(F.col("_d")) & (k1 == F.col("_b1")) & (k2 == F.col("_b2"))
+    return rows.join(bad.for_broadcast(), match, "left_anti").select("row.*")

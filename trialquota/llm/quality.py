@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trialquota.llm.common import Staged, stage, text_key
+from trialquota.llm.common import Staged, packed, stage, text_key
 from trialquota.llm.wordcodes import slices
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -251,17 +251,19 @@ def keep_good(
     Rejected rows are few and are looked up by id and text; the counts don't
     travel with the texts.
     """
-    columns = {"_lang": F.col(lang).cast("string"), "_source": F.col(source).cast("string")}
-    k1, k2 = text_key(F.col(text))
-    keyed = docs.withColumns(columns | {"_k1": k1, "_k2": k2})
-    counts = stage(measured(keyed, doc_id, text, "_lang", "_source", ("_k1", "_k2")), "counts").df
+    k1, k2 = text_key(F.col(f"row.{text}"))
+    keyed = packed(docs).withColumns({
+        "_id": F.col(f"row.{doc_id}"), "_text": F.col(f"row.{text}"), "_lang": F.col(f"row.{lang}").cast("string"),
+        "_source": F.col(f"row.{source}").cast("string"), "_k1": k1, "_k2": k2,
+    })
+    counts = stage(measured(keyed, "_id", "_text", "_lang", "_source", ("_k1", "_k2")), "counts").df
     bad = judged(counts, thresholds(sketches(counts), min_group)).where("NOT kept").select(
         F.col("doc_id").alias("_d"), F.col("_k1").alias("_b1"), F.col("_k2").alias("_b2"),
         F.col("lang").alias("_bl"), F.col("source").alias("_bs"),
     )
     rejected = stage(bad.distinct(), "rejected").for_broadcast()
     match = (
-        keyed[doc_id].eqNullSafe(rejected["_d"]) & (keyed["_k1"] == rejected["_b1"]) & (keyed["_k2"] == rejected["_b2"])
+        keyed["_id"].eqNullSafe(rejected["_d"]) & (keyed["_k1"] == rejected["_b1"]) & (keyed["_k2"] == rejected["_b2"])
         & keyed["_lang"].eqNullSafe(rejected["_bl"]) & keyed["_source"].eqNullSafe(rejected["_bs"])
     )
-    return keyed.join(rejected, match, "left_anti").select(*docs.columns)
+    return keyed.join(rejected, match, "left_anti").select("row.*")

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trialquota.llm.common import bit_sums, components, hamming, majority_bits, stage, text_key
+from trialquota.llm.common import bit_sums, components, hamming, majority_bits, packed, stage, text_key
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -135,14 +135,14 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     winners = stage(
         first.select(*[F.col(f"w.{c}").alias(f"_w{c}") for c in ("doc_id", "_k1", "_k2", "_rows")]), "winners"
     ).df
-    k1, k2 = text_key(F.col(text))
-    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
+    k1, k2 = text_key(F.col(f"row.{text}"))
+    keyed = packed(docs).withColumns({"_id": F.col(f"row.{doc_id}"), "_k1": k1, "_k2": k2})
     match = (
-        keyed[doc_id].eqNullSafe(winners["_wdoc_id"])
+        keyed["_id"].eqNullSafe(winners["_wdoc_id"])
         & (keyed["_k1"] == winners["_w_k1"])
         & (keyed["_k2"] == winners["_w_k2"])
     )
     kept = keyed.join(winners, match)
     single = kept.where("_w_rows = 1")
     repeated = kept.where("_w_rows > 1").dropDuplicates(["_wdoc_id", "_k1", "_k2"])
-    return single.unionByName(repeated).select(*docs.columns)
+    return single.unionByName(repeated).select("row.*")
