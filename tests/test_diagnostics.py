@@ -1,5 +1,6 @@
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,10 +25,10 @@ def test_effect_matches_hand_values(spark):
 @pytest.mark.parametrize(
     "rows, message",
     [
-        ([(1, 1), (0, 1), (1, 0)], "at least two rows"),
-        ([(1, 1), (0, 1)], "at least two rows"),
-        ([(2, 1), (0, 1), (1, 0), (0, 0)], "must be binary"),
-        ([(1, 1), (0, 1), (1, 0), (0, 0), (1, 3)], "must be binary"),
+        ([(1, 1), (0, 1), (1, 0)], "fewer than two rows"),
+        ([(1, 1), (0, 1)], "fewer than two rows"),
+        ([(2, 1), (0, 1), (1, 0), (0, 0)], "only 0 and 1"),
+        ([(1, 1), (0, 1), (1, 0), (0, 0), (1, 3)], "only 0 and 1"),
     ],
 )
 def test_effect_contracts(spark, rows, message):
@@ -42,20 +43,23 @@ def test_effect_confidence_is_checked(spark):
 
 
 def test_balance_matches_algebra(spark):
-    rows = [(3.0, 1, 1, "train"), (5.0, 1, 1, "validation"), (1.0, 1, 0, "train"), (3.0, 0, 0, "validation")]
+    rows = [(2.5, 4, 1, "train"), (-1.0, 4, 1, "validation"), (7.0, 6, 1, "train"), (0.5, 6, 0, "train"), (3.5, 6, 0, "validation"), (4.0, 4, 0, "train"), (9.0, 6, 0, "train")]
     df = spark.createDataFrame(rows, "x double, g int, treatment int, split string")
     found = {r.feature: r for r in diagnostics.balance_table(df, SPEC).collect()}
-    assert found["x"].value == pytest.approx(math.sqrt(2))
-    assert found["g"].value == pytest.approx(0.5 / math.sqrt(0.125))
+    arms = {t: [r[0] for r in rows if r[2] == t] for t in (0, 1)}
+    pooled = math.sqrt((statistics.variance(arms[0]) + statistics.variance(arms[1])) / 2)
+    assert found["x"].value == pytest.approx((statistics.mean(arms[1]) - statistics.mean(arms[0])) / pooled)
+    p1, p0 = 2 / 3, 1 / 4  # share of level 4 in each arm
+    assert found["g"].value == pytest.approx((p1 - p0) / math.sqrt((p1 * (1 - p1) + p0 * (1 - p0)) / 2))
     assert found["x"].metric_type == "pooled_smd"
     with pytest.raises(ValueError, match="train and validation"):
         diagnostics.balance_table(df.withColumn("split", F.lit("test")), SPEC)
 
 
 def test_balance_skips_missing_values(spark):
-    rows = [(3.0, 1.0, 1), (5.0, math.nan, 1), (math.nan, 1.0, 1), (1.0, 1.0, 0), (3.0, 2.0, 0), (None, None, 0)]
+    rows = [(2.0, 1.0, 1), (8.0, math.nan, 1), (math.nan, 1.0, 1), (1.0, 1.0, 0), (2.0, 2.0, 0), (None, None, 0)]
     df = spark.createDataFrame(rows, "x double, g double, treatment int")
-    assert diagnostics.continuous_balance(df, ["x"], "treatment").first().value == pytest.approx(math.sqrt(2))
+    assert diagnostics.continuous_balance(df, ["x"], "treatment").first().value == pytest.approx(3.5 / math.sqrt((18 + 0.5) / 2))
     levels = {r.level: (r.p1, r.p0) for r in diagnostics.level_balance(df, ["g"], "treatment").collect()}
     assert levels == {1.0: (1.0, 0.5), 2.0: (0.0, 0.5)}
 

@@ -50,12 +50,12 @@ def test_column_order_is_checked(spark):
 
 
 def test_levels_are_contiguous_and_unseen_is_null(spark):
-    train = spark.createDataFrame([(3.0, "train"), (1.0, "train"), (3.0, "train"), (2.0, "train"), (math.nan, "train")], "g double, split string")
+    train = spark.createDataFrame([(x, "train") for x in (0.5, 12.0, -4.0, 12.0, 0.5, 7.0, math.nan)], "g double, split string")
     levels = encoding.fit_category_levels(train, ["g"])
-    assert [(r.level, r.code) for r in levels.orderBy("code").collect()] == [(1.0, 0), (2.0, 1), (3.0, 2)]
-    rows = spark.createDataFrame([(0, 1.0), (1, 3.0), (2, 9.0), (3, None)], "row_id int, g double")
+    assert [(r.level, r.code) for r in levels.orderBy("code").collect()] == [(-4.0, 0), (0.5, 1), (7.0, 2), (12.0, 3)]
+    rows = spark.createDataFrame([(0, 7.0), (1, -4.0), (2, 6.0), (3, None)], "row_id int, g double")
     encoded = encoding.apply_category_levels(rows, levels, ["g"]).orderBy("row_id").collect()
-    assert [r.g for r in encoded] == [0, 2, None, None]
+    assert [r.g for r in encoded] == [2, 0, None, None]
     assert encoding.apply_category_levels(rows, levels, ["g"]).schema["g"].dataType.simpleString() == "int"
 
 

@@ -14,22 +14,23 @@ def rank(spark, rows, schema, payload=()):
     return ranking.rank_policies(spark.createDataFrame(rows, schema), ["response"], list(payload), SEED)
 
 
-def test_aipw_matches_hand_values(spark):
-    df = spark.createDataFrame([(1, 1, 0.2, 0.8), (0, 0, 0.1, 0.7)], "y int, t int, m0 double, m1 double")
-    psi = aipw_score(F.col("y"), F.col("t"), F.col("m0"), F.col("m1"), 0.8)
-    assert [r.p for r in df.select(psi.alias("p")).collect()] == pytest.approx([0.85, 1.10])
+def test_aipw_follows_its_formula(spark):
+    rows = [(1, 1, 0.35, 0.6), (0, 1, 0.1, 0.45), (1, 0, 0.25, 0.3), (0, 0, 0.5, 0.05)]
+    df = spark.createDataFrame(rows, "y int, t int, m0 double, m1 double")
+    psi = aipw_score(F.col("y"), F.col("t"), F.col("m0"), F.col("m1"), 0.6)
+    wanted = [m1 - m0 + ((y - m1) / 0.6 if t else -(y - m0) / 0.4) for y, t, m0, m1 in rows]
+    assert [r.p for r in df.select(psi.alias("p")).collect()] == pytest.approx(wanted)
     with pytest.raises(ValueError, match="propensity"):
         aipw_score(F.col("y"), F.col("t"), F.col("m0"), F.col("m1"), 1.0)
 
 
 def test_ties_follow_the_hashed_key(spark):
-    scores = [0.9, 0.8, 0.8, 0.2, 0.1, 0.0]
+    scores = [0.3, 0.7, 0.3, 0.7, 0.1, 0.55, 0.3, 0.7]
     found = rank(spark, list(enumerate(scores)), "row_id long, response double")
     order = [r.row_id for r in found.rows.orderBy("rank").collect()]
-    tied = [1, 2] if splitmix64(1, SEED) < splitmix64(2, SEED) else [2, 1]
-    assert order == [0, *tied, 3, 4, 5]
-    chosen = policy.top_k_membership(found, 0.5).where("selected").collect()
-    assert sorted(r.row_id for r in chosen) == sorted(order[:3])
+    assert order == sorted(range(8), key=lambda i: (-scores[i], splitmix64(i, SEED)))
+    chosen = policy.top_k_membership(found, 0.3).where("selected").collect()
+    assert sorted(r.row_id for r in chosen) == sorted(order[:2])
 
 
 def test_rank_is_exact_when_most_scores_tie(spark):
@@ -69,43 +70,55 @@ def test_capacity_counts():
 
 
 def test_policy_and_random_values(spark):
-    rows = [(i, 4.0 - i, 4.0 - i, 4.0 - i, float(i + 1)) for i in range(4)]
+    rng = random.Random(12)
+    rows = [(i, *(rng.random() for _ in range(3)), rng.choice([-1.5, 0.25, 2.0])) for i in range(11)]
     df = spark.createDataFrame(rows, "row_id long, response double, t_learner double, dr_learner double, psi_y double")
     found = ranking.rank_policies(df, SCORE_POLICIES, ["psi_y"], SEED)
-    grid = policy.policy_value_grid(found, ["y"], [0.0, 0.49, 0.5, 1.0])
+    shares = [0.0, 0.3, 0.62, 1.0]
+    grid = policy.policy_value_grid(found, ["y"], shares)
     value = {(r.policy, r.capacity): r.value for r in grid.collect()}
-    assert value["response", 0.5] == pytest.approx(0.75)
-    assert value["random", 0.5] == pytest.approx(1.25)
-    assert value["random", 0.49] == pytest.approx(0.625)
-    assert value["response", 0.0] == 0.0
-    assert len({value[p, 1.0] for p in ("random", *SCORE_POLICIES)}) == 1
-    assert policy.full_capacity_gap(grid).first().all_equal
-    assert policy.check_full_capacity(grid) is grid
-    random_values = {r.capacity: r.value for r in policy.expected_random_values(df, ["y"], [0.49, 0.5], 4).collect()}
-    assert random_values == pytest.approx({0.49: 0.625, 0.5: 1.25})
+    mean = sum(r[4] for r in rows) / 11
+    for q in shares:
+        k = math.floor(q * 11)
+        assert value["random", q] == pytest.approx(mean * k / 11)
+        for p, name in enumerate(SCORE_POLICIES, 1):
+            assert value[name, q] == pytest.approx(sum(r[4] for r in sorted(rows, key=lambda r: -r[p])[:k]) / 11)
+    assert policy.full_capacity_gap(grid).first().gap < 1e-12
+    random_values = {r.capacity: r.value for r in policy.expected_random_values(df, ["y"], [0.3, 0.62], 11).collect()}
+    assert random_values == pytest.approx({0.3: mean * 3 / 11, 0.62: mean * 6 / 11})
+    halves = df.withColumn("psi_y", F.round(F.col("psi_y") * 4) / 4)
+    exact = policy.policy_value_grid(ranking.rank_policies(halves, SCORE_POLICIES, ["psi_y"], SEED), ["y"], [1.0])
+    assert policy.full_capacity_gap(exact).first().all_equal and policy.check_full_capacity(exact) is exact
     broken = grid.withColumn("value", F.when(F.col("policy") == "response", 9.0).otherwise(F.col("value")))
     with pytest.raises(AssertionError, match="full capacity"):
         policy.check_full_capacity(broken)
 
 
 def test_contrasts(spark):
-    rows = [("random", 1.0), ("response", 2.0), ("t_learner", 4.0), ("dr_learner", 7.0)]
-    df = spark.createDataFrame(rows, "policy string, value double").withColumns({"outcome": F.lit("y"), "capacity": F.lit(0.5)})
+    value = {"random": 0.5, "response": -1.25, "t_learner": 3.0, "dr_learner": 2.5}
+    df = spark.createDataFrame(list(value.items()), "policy string, value double")
+    df = df.withColumns({"outcome": F.lit("y"), "capacity": F.lit(0.5)})
     found = {r.name: r.value for r in policy.policy_contrasts(df).collect()}
-    assert found == dict(zip([c[0] for c in CONTRASTS], [1.0, 3.0, 6.0, 2.0, 5.0]))
+    assert found == {name: value[a] - value[b] for name, a, b in CONTRASTS}
 
 
-def test_qini_matches_hand_values(spark):
-    rows = [(0, 1, 1, 4.0), (1, 1, 0, 1.0), (2, 0, 1, 3.0), (3, 0, 0, 2.0)]
+def test_qini_matches_sums_by_rank(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.randint(0, 1), rng.randint(0, 1), rng.random()) for i in range(9)]
     df = spark.createDataFrame(rows, "row_id long, y int, t int, response double")
-    df = df.withColumn("z", transformed_outcome(F.col("y"), F.col("t"), 0.5))
+    df = df.withColumn("z", transformed_outcome(F.col("y"), F.col("t"), 0.7))
     found = ranking.rank_policies(df, ["response"], ["z"], SEED)
     curve = qini.qini_curve(found).orderBy("position").collect()
-    assert [r.fraction for r in curve] == [0.0, 0.25, 0.5, 0.75, 1.0]
-    assert [r.cumulative_gain for r in curve] == pytest.approx([0.0, 0.5, 0.5, 0.5, 0.0])
-    assert [r.centered_qini for r in curve] == pytest.approx([0.0, 0.5, 0.5, 0.5, 0.0])
+    gains = [0.0]
+    for _, y, t, _ in sorted(rows, key=lambda r: -r[3]):
+        gains.append(gains[-1] + (y / 0.7 if t else -y / 0.3) / 9)
+    centered = [g - i / 9 * gains[-1] for i, g in enumerate(gains)]
+    assert [r.fraction for r in curve] == pytest.approx([i / 9 for i in range(10)])
+    assert [r.cumulative_gain for r in curve] == pytest.approx(gains)
+    assert [r.centered_qini for r in curve] == pytest.approx(centered, abs=1e-12)
     assert curve[-1].centered_qini == 0.0
-    assert qini.qini_coefficients(found).first().coefficient == pytest.approx(0.375)
+    area = sum((a + b) / 18 for a, b in zip(centered, centered[1:]))
+    assert qini.qini_coefficients(found).first().coefficient == pytest.approx(area)
 
 
 @pytest.mark.parametrize("n", [1, 7, 99, 100, 101, 150, 1000])

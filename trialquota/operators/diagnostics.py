@@ -75,8 +75,8 @@ def treatment_effects(
             aggs += [F.avg(value).alias(f"m{arm}_{y}"), F.var_samp(value).alias(f"v{arm}_{y}")]
     stats = df.agg(*aggs, F.coalesce(F.bool_and(binary), F.lit(False)).alias("binary"))
     usable = (F.col("n1") >= 2) & (F.col("n0") >= 2)
-    problem = F.when(usable & ~F.col("binary"), F.lit("outcome and treatment must be binary")).otherwise(
-        F.lit("each treatment arm needs at least two rows")
+    problem = F.when(usable & ~F.col("binary"), F.lit("only 0 and 1 are allowed in outcome and treatment")).otherwise(
+        F.lit("an arm with fewer than two rows has no variance")
     )
 
     def cell(y):

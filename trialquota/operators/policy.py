@@ -36,7 +36,7 @@ def with_policy_scores(df: DataFrame, outcome: str, dr_score: str = "dr_score")
 def capacity_count(n_rows: int, capacity: float) -> int:
     """Number of rows an exact policy may select: floor(capacity * n)."""
     if n_rows < 1 or not 0.0 <= capacity <= 1.0:
-        raise ValueError("capacity must be in [0, 1] and n_rows must be positive")
+        raise ValueError(f"no share {capacity} of {n_rows} rows can be selected")
     return math.floor(float(capacity) * n_rows)
 
 
@@ -147,5 +147,5 @@ def full_capacity_gap(values: DataFrame) -> DataFrame:
 def check_full_capacity(values: DataFrame) -> DataFrame:
     """Return ``values`` unchanged; raise if policies differ at full capacity."""
     if full_capacity_gap(values).where(~F.col("all_equal")).limit(1).count():
-        raise AssertionError("all policies must agree at full capacity")
+        raise AssertionError("policies differ although full capacity selects every row")
     return values

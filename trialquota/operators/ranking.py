@@ -85,7 +85,7 @@ def with_policies(
     keyed = with_splitmix64(scored.select(row_id, *policies, *payload), "tie_key", row_id, seed)
     score = F.col("raw_score").cast("double")
     finite = F.when(is_finite(score), score + F.lit(0.0)).otherwise(
-        F.raise_error(F.lit("policy scores must be finite")).cast("double")
+        F.raise_error(F.lit("a policy score is missing or not finite")).cast("double")
     )
     return keyed.unpivot([row_id, "tie_key", *payload], list(policies), "policy", "raw_score").select(
         "policy", row_id, "tie_key", finite.alias("score"), *payload
