@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trialquota.llm import bytebpe, decontam, linededup, pagetext, personal, quality, repeats, simhash, tokencount, tokenfiles
+from trialquota.llm import bytebpe, decontam, linededup, oracle, pagetext, personal, quality, repeats, simhash, tokencount, tokenfiles
 from trialquota.llm.common import staged_path, table
 
 
@@ -61,4 +61,4 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_queries() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": oracle.quality_sql(), "op5_benchmark_decontamination": oracle.contamination_sql()}
