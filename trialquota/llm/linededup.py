@@ -1,21 +1,26 @@
 """Fuzzy line deduplication in DataFrame operations only.
 
-A line is normalised to its lower-case words.  Lines of at least ``min_words``
-words take part; equal normalised lines are one class from the start.  Two
+A line is normalised by trimming it and folding its case; its words are what
+single spaces separate, without those of one character: a separator would
+outweigh the words it stands between.  Lines of at least ``min_chars`` characters take part;
+equal normalised lines are one class from the start.  Two
 classes are linked when their 64-bit SimHashes differ in at most three bits and
-the edit similarity of the normalised lines is at least ``SIMILARITY``.  Of
+the edit similarity of their words is at least ``SIMILARITY``: the distance
+counts words inserted, deleted or replaced, against the longer line.  For it
+each word is turned into one of 20,000 characters by its hash.  Of
 each connected group the first occurrence stays, by document id (null last),
 text key and position.
 
 The bits are cut into five blocks, so fingerprints within three bits agree on
 two whole blocks: each fingerprint is filed under its ten pairs of blocks.
-Verification runs in two rounds.  In the first every line meets only the least
-fingerprint's least line of each pair of blocks it is filed under.  In the
-second only pairs that are still in different groups meet, so a dense group
-does not spread into all its pairs, and no link that matters is lost.
-
-Defined cases: a null text counts as empty and stays as it is; lines with fewer
-words are never removed; repeated rows share one list of removed lines, and the
+In a pair of blocks with
+up to ``CROWD`` fingerprints all pairs meet; in a larger one each meets only the
+least.  After these links are verified, only pairs that are still in different
+groups meet, so a dense group does not spread into all its pairs, and no link
+that matters is lost.
+
+Defined cases: a null text counts as empty and stays as it is; shorter lines
+are never removed; repeated rows share one list of removed lines, and the
 first keeps its lines as all of them do; a text that loses all lines becomes
 empty; other columns pass through.
 """
@@ -26,41 +31,47 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trialquota.llm.common import Staged, bit_sums, components, hamming, majority_bits, stage, text_key
+from trialquota.llm.common import Staged, bit_sums, components, hamming, majority_bits, packed, stage, text_key
 
-MIN_WORDS = 3
+MIN_CHARS = 12
 BITS = 3
 SIMILARITY = 0.8
+CROWD = 64
 CUTS = (0, 13, 26, 39, 52, 64)
 KEYS = ["_k1", "_k2"]
 
 
-def normal_words(line: Column) -> Column:
-    """Lower-case runs of letters and digits; one empty string for a line without."""
-    return F.split(F.regexp_replace(F.lower(line), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""), r"[^\p{L}\p{N}]+", -1)
-
-
 def raw_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def document_lines(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
-    """(doc_id, _k1, _k2, pos, words, norm, h1, h2): lines with enough words; h1 and h2 stand for norm."""
+def document_lines(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
+    """(doc_id, _k1, _k2, pos, norm, h1, h2): lines long enough; h1 and h2 stand for norm."""
     lines = docs.select(
         F.col(doc_id).alias("doc_id"), *text_key(F.col(text)), F.posexplode(raw_lines(F.col(text))).alias("pos", "line")
     )
-    words = lines.select("doc_id", *KEYS, "pos", normal_words(F.col("line")).alias("words"))
-    norm = words.where(F.size("words") >= min_words).withColumn("norm", F.array_join("words", " "))
+    norm = lines.select("doc_id", *KEYS, "pos", F.lower(F.btrim("line", F.lit(" \t\r"))).alias("norm"))
+    norm = norm.where(F.char_length("norm") >= min_chars)
     return norm.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(7), F.col("norm"))})
 
 
+def word_characters(norm: Column) -> Column:
+    """One character for each word of a line."""
+
+    def character(word: Column) -> Column:
+        return F.decode(F.unhex(F.hex(F.pmod(F.xxhash64(word), F.lit(20_000)) + 0x4E00)), "UTF-16BE")
+
+    return F.array_join(F.transform(F.split(norm, " ", -1), character), "")
+
+
 def line_classes(lines: DataFrame) -> Staged:
     """(h1, h2, fp, n): fingerprint and occurrences of each distinct line."""
-    words = lines.select("h1", "h2", F.posexplode("words").alias("_i", "word"))
-    hashed = words.select("h1", "h2", (F.col("_i") == 0).cast("int").alias("begins"), F.xxhash64("word").alias("h"))
+    words = lines.select("h1", "h2", F.posexplode(F.split("norm", " ", -1)).alias("_i", "word"))
+    hashed = words.select("h1", "h2", (F.col("_i") == 0).cast("int").alias("begins"), F.when(F.char_length("word") > 1, F.xxhash64("word")).alias("h"))
     # Occurrences of a line add alike to the bits and to their number, so the majority holds.
     summed = hashed.groupBy("h1", "h2").agg(F.count("h").alias("m"), F.sum("begins").alias("n"), *bit_sums(F.col("h")))
-    return stage(summed.select("h1", "h2", majority_bits(F.col("m")).alias("fp"), "n"), "line-classes")
+    fp = F.when(F.col("m") > 0, majority_bits(F.col("m"))).otherwise(F.col("h1")).alias("fp")
+    return stage(summed.select("h1", "h2", fp, "n"), "line-classes")
 
 
 def block_keys(fp: Column) -> Column:
@@ -77,89 +88,100 @@ def block_keys(fp: Column) -> Column:
 
 
 def crowded_blocks(classes: Staged) -> Staged:
-    """(key, fp, least): fingerprints that share a pair of blocks with another one."""
+    """(key, fp, least, n): fingerprints that share a pair of blocks with others, n in all."""
     filed = classes.df.select("fp").distinct().select("fp", F.explode(block_keys(F.col("fp"))).alias("key"))
     filed = filed.repartition("key")
     least = filed.groupBy("key").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return stage(filed.join(least.drop("n"), "key"), "crowded-blocks")
+    return stage(filed.join(least, "key"), "crowded-blocks")
 
 
-def verified(docs_lines: DataFrame, pairs: Staged) -> Staged:
-    """Pairs (a, b) of lines whose edit similarity reaches the bound; texts are read for these lines only."""
-    wanted = stage(pairs.df.select("a.*").unionByName(pairs.df.select("b.*")).distinct(), "wanted-lines")
-    texts = stage(
-        docs_lines.select("h1", "h2", "norm").join(wanted.for_broadcast(), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]),
-        "line-texts",
-    ).df
-    line = F.struct("h1", "h2")
-    found = pairs.df.join(texts.select(line.alias("a"), F.col("norm").alias("na")), "a").join(
-        texts.select(line.alias("b"), F.col("norm").alias("nb")), "b"
-    )
-    limit = F.floor((1 - SIMILARITY) * F.greatest(F.length("na"), F.length("nb")) + 1e-9).cast("int")
+def close(a: str, b: str) -> Column:
+    return hamming(F.col(a), F.col(b)) <= BITS
 
-    def within(most: Column) -> Column:
-        return F.call_function("levenshtein", F.col("na"), F.col("nb"), most) >= 0
 
-    # A narrow band settles most pairs.
-    close = F.when(within(F.least(limit, F.lit(32))), True).otherwise(within(limit))
-    linked = found.withColumn("limit", limit).where(close).select("a", "b")
-    return stage(linked, "line-links")
+def verified(pairs: DataFrame, texts: DataFrame) -> Staged:
+    """Pairs (a, b) of lines whose edit similarity reaches the bound."""
+    found = pairs.join(texts.select(F.col("h1").alias("a"), F.col("words").alias("wa")), "a").join(
+        texts.select(F.col("h1").alias("b"), F.col("words").alias("wb")), "b"
+    )
+    limit = F.floor((1 - SIMILARITY) * F.greatest(F.char_length("wa"), F.char_length("wb")) + 1e-9).cast("int")
+    distance = F.call_function("levenshtein", F.col("wa"), F.col("wb"), F.col("limit"))
+    return stage(found.withColumn("limit", limit).where(distance >= 0).select("a", "b"), "line-links")
 
 
 def line_groups(docs_lines: DataFrame, classes: Staged) -> DataFrame:
-    """(line, root) for every line that is linked to another."""
-    crowded = crowded_blocks(classes)
-    line = F.struct("h1", "h2")
-    members = classes.df.select("fp", line.alias("line"))
-    least = members.groupBy("fp").agg(F.min("line").alias("head"), F.count(F.lit(1)).alias("lines"))
-    near = crowded.df.where((F.col("fp") != F.col("least")) & (hamming(F.col("fp"), F.col("least")) <= BITS))
-    twins = least.where("lines > 1").select("fp", F.col("fp").alias("least"))
-    stars = near.select("fp", "least").unionByName(twins).distinct()
-    first = stage(
-        stars.join(members, "fp").join(least.select(F.col("fp").alias("least"), "head"), "least")
-        .where("line <> head").select(F.col("head").alias("a"), F.col("line").alias("b")),
-        "first-pairs",
-    )
-    links = verified(docs_lines, first)
-    rooted = components(links.df, "line-groups").df
-    # A fingerprint whose lines are all in one group needs no further meeting with others of that group.
-    placed = members.join(rooted.withColumnRenamed("node", "line"), "line", "left").select(
-        "fp", "line", F.coalesce("root", "line").alias("root")
+    """(line, root) for every line that is linked to another; a line goes by its first hash."""
+    crowded = crowded_blocks(classes).df
+    members = classes.df.select("fp", F.col("h1").alias("line"))
+    heads = members.groupBy("fp").agg(F.min("line").alias("head"), F.count(F.lit(1)).alias("lines"))
+    a, b = crowded.where(f"n <= {CROWD}").alias("a"), crowded.where(f"n <= {CROWD}").alias("b")
+    few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & close("a.fp", "b.fp"))
+    many = crowded.where(f"n > {CROWD}")
+    stars = many.where((F.col("fp") != F.col("least")) & close("fp", "least"))
+    twins = heads.where("lines > 1").select(F.col("fp").alias("fa"), F.col("fp").alias("fb"))
+    near = stage(
+        few.select(F.col("a.fp").alias("fa"), F.col("b.fp").alias("fb"))
+        .unionByName(stars.select(F.col("least").alias("fa"), F.col("fp").alias("fb")))
+        .unionByName(twins).distinct(),
+        "near-fingerprints",
+    ).df
+    prints = near.select(F.col("fa").alias("fp")).unionByName(near.select(F.col("fb").alias("fp"))).unionByName(many.select("fp"))
+    placed = stage(members.join(prints.distinct(), "fp", "left_semi").join(heads, "fp"), "near-lines")
+    wanted = stage(placed.df.select(F.col("line").alias("h1")), "wanted-lines")
+    texts = stage(
+        docs_lines.select("h1", "norm").join(wanted.for_broadcast(), "h1", "left_semi")
+        .select("h1", word_characters(F.col("norm")).alias("words")).dropDuplicates(["h1"]),
+        "line-words",
+    ).df
+
+    def sides(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+        """Lines of both fingerprints of each pair."""
+        left = lines.select(*[F.col(c).alias(f"{c}_a") for c in lines.columns])
+        right = lines.select(*[F.col(c).alias(f"{c}_b") for c in lines.columns])
+        return pairs.join(left, F.col("fa") == F.col("fp_a")).join(right, F.col("fb") == F.col("fp_b"))
+
+    # At first the least line of a fingerprint stands for it.
+    first = sides(near, placed.df).where(
+        (F.col("line_a") != F.col("line_b")) & ((F.col("line_a") == F.col("head_a")) | (F.col("line_b") == F.col("head_b")) & (F.col("fa") != F.col("fb")))
     )
-    placed = stage(placed.join(crowded.df.select("fp").unionByName(twins.select("fp")).distinct(), "fp", "left_semi"), "placed-lines").df
-    print_root = placed.groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    left = crowded.df.select("key", "fp").join(print_root, "fp")
-    a, b = left.alias("a"), left.alias("b")
+    first = stage(first.select(F.col("line_a").alias("a"), F.col("line_b").alias("b")).distinct(), "first-pairs").df
+    links = verified(first, texts).df
+    rooted = components(links, "line-groups").df.withColumnRenamed("node", "line")
+    grouped = stage(
+        placed.df.join(rooted, "line", "left").select("fp", "line", "lines", F.coalesce("root", "line").alias("root")), "placed-lines"
+    ).df
+    # A fingerprint whose lines are all in one group need not meet others of that group again.
+    ends = grouped.groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.first("lines").alias("lines"))
+    spots = many.select("key", "fp").join(ends, "fp")
+    a, b = spots.alias("a"), spots.alias("b")
     apart = (F.col("a.low") != F.col("a.high")) | (F.col("b.low") != F.col("b.high")) | (F.col("a.low") != F.col("b.low"))
-    meets = a.join(
-        b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & apart
-        & (hamming(F.col("a.fp"), F.col("b.fp")) <= BITS),
-    ).select(F.col("a.fp").alias("fa"), F.col("b.fp").alias("fb"))
-    own = print_root.where("low <> high").select(F.col("fp").alias("fa"), F.col("fp").alias("fb"))
-    pairs = meets.unionByName(own).distinct()
-    second = (
-        pairs.join(placed.select(F.col("fp").alias("fa"), F.col("line").alias("a"), F.col("root").alias("ra")), "fa")
-        .join(placed.select(F.col("fp").alias("fb"), F.col("line").alias("b"), F.col("root").alias("rb")), "fb")
-        .where((F.col("ra") != F.col("rb")) & ((F.col("fa") != F.col("fb")) | (F.col("a") < F.col("b"))))
-        .select("a", "b")
+    meets = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & apart & close("a.fp", "b.fp"))
+    plural = ends.where("lines > 1").select("fp")
+    again = near.join(plural, F.col("fa") == F.col("fp"), "left_semi").unionByName(near.join(plural, F.col("fb") == F.col("fp"), "left_semi"))
+    pairs = meets.select(F.col("a.fp").alias("fa"), F.col("b.fp").alias("fb")).unionByName(again).distinct()
+    second = sides(pairs, grouped).where(
+        (F.col("root_a") != F.col("root_b")) & ((F.col("fa") != F.col("fb")) | (F.col("line_a") < F.col("line_b")))
     )
-    second = stage(second.join(first.df, ["a", "b"], "left_anti"), "second-pairs")
+    second = second.select(F.col("line_a").alias("a"), F.col("line_b").alias("b"))
+    second = stage(second.join(first, ["a", "b"], "left_anti"), "second-pairs")
     if not second.rows:
-        return rooted.withColumnRenamed("node", "line")
-    more = verified(docs_lines, second)
-    return components(links.df.unionByName(more.df), "line-groups").df.withColumnRenamed("node", "line")
+        return rooted
+    more = verified(second.df, texts)
+    if not more.rows:
+        return rooted
+    return components(links.unionByName(more.df), "line-groups").df.withColumnRenamed("node", "line")
 
 
-def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> Staged:
+def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> Staged:
     """(_d, _k1, _k2, drops): sorted positions of the lines to remove from each text that loses any."""
-    lines = document_lines(docs, doc_id, text, min_words)
+    lines = document_lines(docs, doc_id, text, min_chars)
     classes = line_classes(lines)
     grouped = line_groups(lines, classes)
     root = F.coalesce("root", "line").alias("root")
-    repeated = classes.df.select(F.struct("h1", "h2").alias("line"), "n").join(grouped, "line", "left").where(
+    repeated = classes.df.select(F.col("h1").alias("line"), "h2", "n").join(grouped, "line", "left").where(
         (F.col("n") > 1) | F.col("root").isNotNull()
     )
-    repeated = stage(repeated.select(F.col("line.h1").alias("h1"), F.col("line.h2").alias("h2"), root), "repeated-lines")
+    repeated = stage(repeated.select(F.col("line").alias("h1"), "h2", root), "repeated-lines")
     at = lines.select("doc_id", *KEYS, "pos", "h1", "h2").join(repeated.for_broadcast(), ["h1", "h2"])
     places = stage(at.select("doc_id", *KEYS, "pos", "root"), "repeated-places").df
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEYS, "pos")
@@ -185,24 +207,23 @@ def without(lines: Column, drops: Column) -> Column:
     return F.flatten(runs)
 
 
-def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with repeated lines removed from the text, plus _n_lines and _n_removed."""
-    drops = repeated_lines(docs, doc_id, text, min_words).df
-    k1, k2 = text_key(F.col(text))
-    keyed = docs.withColumns({"_t1": k1, "_t2": k2})
-    match = keyed[doc_id].eqNullSafe(drops["_d"]) & (keyed["_t1"] == drops["_k1"]) & (keyed["_t2"] == drops["_k2"])
+    drops = repeated_lines(docs, doc_id, text, min_chars).df
+    own = F.col(f"row.{text}")
+    k1, k2 = text_key(own)
+    keyed = packed(docs).withColumns({"_id": F.col(f"row.{doc_id}"), "_t1": k1, "_t2": k2})
+    match = keyed["_id"].eqNullSafe(drops["_d"]) & (keyed["_t1"] == drops["_k1"]) & (keyed["_t2"] == drops["_k2"])
     joined = keyed.join(drops, match, "left")
-    lines = raw_lines(F.col(text))
-    shorter = F.when(F.col("drops").isNull(), F.col(text)).otherwise(F.array_join(without(lines, F.col("drops")), "\n"))
-    removed = F.coalesce(F.size("drops"), F.lit(0)).cast("long")
-    removed = F.when(F.col("drops").isNull(), F.lit(0).cast("long")).otherwise(removed)
-    return joined.withColumns({"_n_lines": F.size(lines).cast("long"), "_n_removed": removed, text: shorter}).select(
-        *docs.columns, "_n_lines", "_n_removed"
-    )
+    lines, gone = raw_lines(own), F.col("drops")
+    shorter = F.when(gone.isNull(), own).otherwise(F.array_join(without(lines, gone), "\n"))
+    removed = F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long")
+    kept = [shorter.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return joined.select(*kept, F.size(lines).cast("long").alias("_n_lines"), removed.alias("_n_removed"))
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """Per row: lines, lines removed, and the digest of the text that is left."""
-    left = drop_repeated_lines(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), min_words=min_words)
+    left = drop_repeated_lines(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), min_chars=min_chars)
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return left.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), digest.alias("kept_sha256"))
