@@ -31,7 +31,11 @@ END_ID = 1
 WORD_END = "</w>"
 #: Letters whose normal form and lower case depend on nothing around them, then other marks of ASCII.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+PIECE = re.compile(r"[a-zß-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
+MIXED = r"[^a-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}][.,] "
 JOINED = 2000
+SLICE_BYTES = 8 << 20
+MEMO_ENTRIES = 3 << 17
 SCHEMA = "doc_id long, part int, before long, ids array<int>"
 OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "2000", "orc.compress": "ZLIB"}
 
@@ -45,7 +49,7 @@ class WordEncoder:
         for token, i in self.library.get_vocab().items():
             self.ends[i] = token.endswith(WORD_END)
         self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.memo = Memo()
+        self.memo = Memo(MEMO_ENTRIES)
 
     def library_ids(self, words: list[str]) -> list[bytes]:
         encoded = self.library.encode_batch_fast(words, add_special_tokens=False)
@@ -66,33 +70,51 @@ class WordEncoder:
             found += [raw[4 * a : 4 * b] for a, b in zip(starts, cuts.tolist(), strict=True)]
         return found
 
+    def parts(self, word: str) -> tuple[str, str]:
+        """A word as two pieces that can be encoded apart; lower-cased where that depends on nothing else."""
+        match = SIMPLE.fullmatch(word)
+        if match and not any(s in word for s in self.special):
+            return match[1].lower(), match[2]
+        return word, ""
+
     def words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word; new parts are encoded together."""
-        memo, split, simple, other = self.memo, [], {}, {}
-        for word in words:
-            match = SIMPLE.fullmatch(word)
-            parts = (match[1].lower(), match[2]) if match and not any(s in word for s in self.special) else (word,)
+        """Ids of each word, A-Z lower-cased before; new parts are encoded together."""
+        get = self.memo.get
+        found = [get(word) for word in words]
+        new = [i for i, ids in enumerate(found) if ids is None]
+        known: dict[str, bytes] = {"": b""}
+        split, simple, other = [], {}, {}
+        for i in new:
+            word = words[i]
+            parts = (word, "") if word.isascii() and word.isalpha() else self.parts(word)
             split.append(parts)
             for part in parts:
-                if part and memo.get(part) is None:
-                    (simple if match else other)[part] = b""
-        for new, encode in ((simple, self.simple_ids), (other, self.library_ids)):
-            names = list(new)
-            for name, ids in zip(names, encode(names) if names else (), strict=True):
-                new[name] = ids
-                memo.put(name, ids)
-        fresh = simple | other
-
-        def ids(part: str) -> bytes:
-            found = fresh.get(part)
-            return found if found is not None else memo.get(part) or self.library_ids([part])[0]
-
-        return [b"".join([ids(p) for p in parts if p]) for parts in split]
+                if part and part not in known:
+                    # A part of the memory may be known although its word is not.
+                    ids = get(part)
+                    if ids is not None:
+                        known[part] = ids
+                    elif parts[1] or PIECE.fullmatch(part):
+                        simple[part] = None
+                    else:
+                        # Whatever is not one piece by itself goes to the library alone.
+                        other[part] = None
+        for names, encode in ((list(simple), self.simple_ids), (list(other), self.library_ids)):
+            known.update(zip(names, encode(names) if names else (), strict=True))
+        put = self.memo.put
+        for i, (stem, tail) in zip(new, split, strict=True):
+            found[i] = ids = known[stem] + known[tail]
+            put(words[i], ids)
+        return found
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        codes, starts, words = word_codes(
-            pc.replace_substring(texts, "\n", " "), pa.array(np.zeros(len(texts), bool)), list
-        )
+        # Lower-casing A-Z first makes more words alike; it must not make a special token out of another string.
+        lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        lowered = pc.replace_substring(lowered, "\n", " ")
+        # A comma or stop after a letter or digit is a piece of its own; apart from its word it needs no second look.
+        apart = pc.replace_substring(pc.replace_substring(lowered, ", ", " , "), ". ", " . ")
+        lowered = pc.if_else(pc.match_substring_regex(lowered, MIXED), lowered, apart)
+        codes, starts, words = word_codes(lowered, pa.array(np.zeros(len(texts), bool)), list)
         return gathered_ids(codes, starts, self.words(words))
 
 
@@ -111,7 +133,7 @@ def encoded_rows(docs: DataFrame, tokenizer: str, end_id: int = END_ID, doc_id:
     def encode(batches):
         own, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows, texts in slices(batch, "text"):
+            for rows, texts in slices(batch, "text", SLICE_BYTES):
                 ids, starts = own.texts(texts)
                 n = len(texts)
                 full = np.insert(ids, starts[1:], end_id).astype(np.int32, copy=False)
