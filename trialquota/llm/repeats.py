@@ -35,6 +35,7 @@ LENGTH = 200
 GRAM_STEPS = 5  # k-grams of 2 ** 5 bytes
 GROUP = 2000
 BATCH_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 PLACE_BITS = 28
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -98,7 +99,7 @@ def text_segments(docs: DataFrame, length: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, "text"):
+            for part, texts in slices(batch, "text", SLICE_BYTES):
                 data, offsets = text_bytes(texts)
                 text, starts, windows, m = segments(data, offsets, length)
                 view = memoryview(data)
@@ -118,65 +119,63 @@ def text_segments(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("doc_id", "k", "text").mapInArrow(cut, SEGMENT)
 
 
-def suffix_order(data: np.ndarray, remaining: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffixes in order, and their ranks by the first 8, 16, ... bytes.
-
-    ``remaining`` has the bytes left in the segment of each position; a suffix
-    that ends sorts before those that go on.
-    """
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    packed = np.zeros(n, np.uint64)
-    for i in range(8):
-        byte = np.where(remaining > i, padded[i : i + n], 0).astype(np.uint64)
-        packed = (packed << np.uint64(8)) | byte
-    order = np.lexsort((np.minimum(remaining, 8), packed))
-    key = packed[order]
-    short = np.minimum(remaining, 8)[order]
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (short[1:] != short[:-1])])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(new)
-    levels, size = [(8, rank)], 8
-    while size < remaining.max() and rank.max() < n:
-        ahead = np.minimum(np.arange(n) + size, n - 1)
-        second = np.where(remaining > size, rank[ahead], 0)
-        pair = rank * (n + 1) + second
-        order = np.argsort(pair, kind="stable")
-        ranked = pair[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` bytes that begin at each byte, put together from runs of powers of two."""
+    runs, size, at = (data.astype(np.uint64) + np.uint64(1)) * _ODD[5], 1, 0
+    found = np.zeros(len(data) - length + 1, np.uint64)
+    while at < length:
+        if length & size:
+            found = (found ^ (found >> np.uint64(29))) * _ODD[4] + runs[at : at + len(found)]
+            at += size
+        mixed = runs ^ (runs >> np.uint64(31))
+        runs = mixed[:-size] * _ODD[size.bit_length() % 4] + mixed[size:]
         size *= 2
-        levels.append((size, rank))
-    return order, levels
+    return found
 
 
-def common_prefixes(data: np.ndarray, remaining: np.ndarray, a: np.ndarray, b: np.ndarray, levels) -> np.ndarray:
-    """Length of the longest common prefix of the suffixes at a and b."""
-    a, b, found = a.copy(), b.copy(), np.zeros(len(a), np.int64)
-    active = np.ones(len(a), bool)
-    n = len(data)
-    for size, rank in [*reversed(levels), *[(s, None) for s in (4, 2, 1)]]:
-        # Only the largest size can fit twice into a match.
-        times = int(remaining.max()) // size + 1 if size == levels[-1][0] else 1
-        for _ in range(times):
-            fits = active & (np.minimum(remaining[np.minimum(a, n - 1)], remaining[np.minimum(b, n - 1)]) >= size) & (a < n) & (b < n)
-            if not fits.any():
-                break
-            i = np.flatnonzero(fits)
-            if rank is not None:
-                same = rank[a[i]] == rank[b[i]]
-            else:
-                same = np.ones(len(i), bool)
-                for k in range(size):
-                    same &= data[a[i] + k] == data[b[i] + k]
-            i = i[same]
-            if not len(i):
-                break
-            ended = (remaining[a[i]] == size) | (remaining[b[i]] == size)
-            a[i] += size
-            b[i] += size
-            found[i] += size
-            active[i[ended]] = False
+def suffix_array(data: np.ndarray, remaining: np.ndarray, length: int) -> np.ndarray:
+    """Suffixes whose first ``length`` bytes occur again, equal beginnings side by side.
+
+    The order is that of a suffix array, but for the first ``length`` bytes, whose
+    hash stands for them: only suffixes that share these bytes are ever compared.
+    The byte 255 is in no UTF-8 text, so 0 can mark the end of a string.
+    """
+    starts = np.flatnonzero(remaining >= length)
+    if len(starts) < 2:
+        return starts[:0]
+    hashed = window_hashes(data, length)[starts]
+    order = np.argsort(hashed)
+    ranked = hashed[order]
+    alike = ranked[1:] == ranked[:-1]
+    shared = np.concatenate([alike, [False]]) | np.concatenate([[False], alike])
+    starts, hashed = starts[order[shared]], ranked[shared]
+    if not len(starts):
+        return starts
+    reach = int(remaining[starts].max()) - length
+    rows = np.zeros((len(starts), 8 + reach), np.uint8)
+    rows[:, :8] = hashed.astype(">u8").view(np.uint8).reshape(-1, 8)
+    column = np.arange(reach)
+    at = np.minimum(starts[:, None] + length + column, len(data) - 1)
+    rows[:, 8:] = np.where(column < (remaining[starts] - length)[:, None], data[at] + np.uint8(1), 0)
+    return starts[np.argsort(rows.view(f"S{8 + reach}").ravel(), kind="stable")]
+
+
+def common_prefixes(data: np.ndarray, remaining: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common prefix of the suffixes at a and b: eight bytes at a time, then one by one."""
+    found, most = np.zeros(len(a), np.int64), np.minimum(remaining[a], remaining[b])
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    packed = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data)]
+    active = np.arange(len(a))
+    while len(active):
+        active = active[found[active] + 8 <= most[active]]
+        same = (packed[a[active] + found[active]] == packed[b[active] + found[active]]).all(axis=1)
+        active = active[same]
+        found[active] += 8
+    active = np.arange(len(a))
+    for _ in range(8):
+        active = active[found[active] < most[active]]
+        active = active[data[a[active] + found[active]] == data[b[active] + found[active]]]
+        found[active] += 1
     return found
 
 
@@ -186,29 +185,25 @@ def maximal_repeats(data: np.ndarray, bounds: np.ndarray, length: int) -> Iterat
     String i is data[bounds[i]:bounds[i + 1]]; no match crosses its end.
     """
     n = len(data)
-    sizes = np.diff(bounds)
-    if not n:
+    if n < length:
         return
+    sizes = np.diff(bounds)
     remaining = np.repeat(bounds[1:], sizes) - np.arange(n)
-    order, levels = suffix_order(data, remaining)
-    order = order[remaining[order] >= length]
+    order = suffix_array(data, remaining, length)
     if len(order) < 2:
         return
-    prefix = common_prefixes(data, remaining, order[:-1], order[1:], levels)
+    prefix = common_prefixes(data, remaining, order[:-1], order[1:])
     begins = np.zeros(n, bool)
     begins[bounds[:-1][sizes > 0]] = True
     # Preceding byte; 256 for the first of a string, which differs from all others.
     left = np.where(begins, 256, np.concatenate([[0], data[:-1]]).astype(np.int64))
+    # Runs of neighbours that share at least ``length`` bytes.
     edges = np.flatnonzero(prefix >= length)
-    at, total = 0, len(edges)
-    while at < total:
-        # A run of neighbours that share at least ``length`` bytes.
-        stop = at
-        while stop + 1 < total and edges[stop + 1] == edges[stop] + 1:
-            stop += 1
-        low, high = int(edges[at]), int(edges[stop]) + 1
-        yield from intervals(order[low : high + 1].tolist(), prefix[low:high].tolist(), left)
-        at = stop + 1
+    cuts = np.flatnonzero(np.diff(edges) > 1) + 1
+    for run in np.split(edges, cuts):
+        if len(run):
+            low, high = int(run[0]), int(run[-1]) + 1
+            yield from intervals(order[low : high + 1].tolist(), prefix[low:high].tolist(), left)
 
 
 def intervals(suffixes: list[int], prefix: list[int], left: np.ndarray) -> Iterator[tuple[int, list[int]]]:
@@ -306,7 +301,8 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, k, spans): spans (start, end) in bytes that lie in repeats, unmerged."""
-    found = text_segments(rows, length)
+    # Written once: cutting costs more than reading it back.
+    found = stage(text_segments(rows, length), "all-segments").df
     anchors = found.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m")
     shared = stage(found.join(anchors, "m"), "segments").df
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "start", "windows")
@@ -360,14 +356,15 @@ def class_contents(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
-    runs: list[list[int]] = []
-    for start, end in sorted((s["start"], s["end"]) for s in spans):
-        if runs and start <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], end)
-        else:
-            runs.append([start, end])
-    return [tuple(r) for r in runs]
+def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of spans that overlap or touch."""
+    if not len(starts):
+        return []
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    first = np.flatnonzero(np.concatenate([[True], starts[1:] > reach[:-1]]))
+    last = np.append(first[1:], len(starts)) - 1
+    return list(zip(starts[first].tolist(), reach[last].tolist(), strict=True))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -378,8 +375,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for content, own in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                data, runs = content.encode(), merged(own or [])
+            spans = batch.column("spans")
+            flat, places = spans.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(spans), 0).to_numpy())])
+            starts, ends = (flat.field(i).to_numpy() for i in range(2))
+            for row, content in enumerate(batch.column("text").to_pylist()):
+                own = slice(places[row], places[row + 1])
+                data, runs = content.encode(), merged(starts[own], ends[own])
                 edges = [0, *[x for run in runs for x in run], len(data)]
                 kept = hashlib.sha256()
                 for a, b in zip(edges[::2], edges[1::2], strict=True):
