@@ -1,5 +1,8 @@
 """SimHash near-duplicates linked by multi-index hashing.
 
+``simhash_components`` links at three bits.  ``drop_near_duplicates`` links by
+the similarity of the shingles themselves, with these components as hints.
+
 The fingerprint of a text is the bitwise majority of the XXH64 values of its
 word shingles.  Work on links is done over distinct fingerprints only.
 
@@ -22,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trialquota.llm.common import bit_sums, components, hamming, majority_bits, packed, stage, text_key
+from trialquota.llm.shinglesets import text_groups
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -123,15 +127,22 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """Rows of ``docs`` that come first in their component, with all their columns.
 
+    Texts are linked when their sets of word shingles have a Jaccard similarity
+    of at least 0.8.  Three bits of 64 cover few such pairs, so fingerprints only
+    name texts to compare first; ``text_groups`` finds all pairs and verifies them.
+
     First is the smallest id (null last), then the smallest text key; of rows
     equal in id and text one stays.  The winner of a component is a minimum
     combined before the shuffle, however large the component is.
     """
-    prints = stage(text_fingerprints(docs, doc_id, text, shingle), "prints").df
-    rooted = fingerprint_components(prints)
+    printed = stage(text_fingerprints(docs, doc_id, text, shingle), "prints")
+    prints = printed.df
+    hints = prints.select("fingerprint", "_k1", "_k2").distinct().join(fingerprint_components(prints), "fingerprint")
+    hints = hints.select("_k1", "_k2", F.col("root").alias("hint"))
+    rooted = text_groups(docs, text, shingle, printed.rows, hints)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2", "_rows")
-    least = prints.groupBy("fingerprint").agg(F.min(order).alias("w"))
-    first = rooted.join(least, "fingerprint").groupBy("root").agg(F.min("w").alias("w"))
+    least = prints.groupBy("_k1", "_k2").agg(F.min(order).alias("w"))
+    first = rooted.join(least, ["_k1", "_k2"]).groupBy("root").agg(F.min("w").alias("w"))
     winners = stage(
         first.select(*[F.col(f"w.{c}").alias(f"_w{c}") for c in ("doc_id", "_k1", "_k2", "_rows")]), "winners"
     ).df
