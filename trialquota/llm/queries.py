@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trialquota.llm import bytebpe, decontam, linededup, oracle, pagetext, personal, quality, repeats, simhash, tokencount, tokenfiles
+from trialquota.llm import bytebpe, decontam, linededup, merkle, oracle, pagetext, personal, quality, repeats, simhash, tokencount, tokenfiles
 from trialquota.llm.common import staged_path, table
 
 
@@ -56,6 +56,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
