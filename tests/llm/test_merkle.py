@@ -96,3 +96,8 @@ def test_one_row_and_empty(spark):
     ((doc_id, lf, sub, root, proof_sha, folded, ok),) = run(spark, rows)
     assert lf == sub == root and proof_sha == H("")
     assert run(spark, []) == []
+
+
+def test_one_leaf_per_source(spark):
+    rows = [(i, f"T{i}", "en", f"s{i}", 1, None, None, None) for i in range(20)] + [(99, None, None, None, None, None, None, None)]
+    assert run(spark, rows) == brute(rows)

@@ -9,12 +9,16 @@ hash of their digests, level by level, until one node, the subroot, is left.
 The subroots, ordered by source (null first, UTF-8 bytewise), give the root in
 the same way.
 
-Proofs: every node holds the segment of its siblings (the others of its run,
-split into those left and right of it) and a pointer to its parent.  In each
-round every node joins the record of the node it points to, takes over that
-node's pointer and appends its segments, so the distance covered doubles; after
-about log2(depth) rounds every leaf reaches the root.  The top of a source tree
-points to its subroot's place in the tree of subroots without a segment.
+Proofs: every node above the leaves holds the segment of its siblings (the
+others of its run, split into those left and right of it, as bytes) and a
+pointer to its parent.  In each round every node joins the record of the node
+it points to, takes over that node's pointer and appends its segments, so the
+distance covered doubles; after about log2(depth) rounds every node reaches the
+root.  The top of a source tree points to its subroot's place in the tree of
+subroots without a segment.  Leaves, FANOUT times as many as all other nodes,
+do not jump: each takes its own segment from its run and the finished proof of
+its parent in one last join, so the growing proofs are written for one node
+in FANOUT only.
 
 Ancestor records of the levels with few nodes (a size bound derived from the
 counted leaves, not guessed) are broadcast; larger levels are joined by a
@@ -68,19 +72,22 @@ def levels_for(n: int) -> int:
     return levels
 
 
-def build_tree(nodes: DataFrame, top: int, label: str) -> tuple[DataFrame, DataFrame]:
+def build_tree(nodes: DataFrame, top: int, label: str, payload: tuple[str, ...] = ()) -> tuple[DataFrame, list, DataFrame | None]:
     """Hash runs of FANOUT nodes until each tree has one node.
 
-    ``nodes``: (t, level 0, idx, hash, d) where d is the tree's depth.  Returns all
-    nodes (t, level, idx, hash, d) and the links (t, level, idx, left, right) of
-    every node below its tree's top.
+    ``nodes``: (t, level 0, idx, hash, d, *payload) where d is the tree's depth.
+    Returns all nodes (t, level, idx, hash, d); the links (t, level, idx, left,
+    right) of every node above level 0 and below its tree's top, with the sibling
+    digests as bytes; and the runs of level 0 (t, d, parent, run), whose entries
+    keep the payload, so that the leaves' own rows come from them.
     """
-    all_nodes, links, current = [nodes], [], nodes
+    all_nodes, links, current, first_runs = [nodes.select("t", "level", "idx", "hash", "d")], [], nodes, None
     for level in range(top):
+        kept = ("idx", "hash", *payload) if level == 0 else ("idx", "hash")
         runs = (
             current.where(F.col("level") < F.col("d"))
             .groupBy("t", "d", F.floor(F.col("idx") / FANOUT).alias("parent"))
-            .agg(F.array_sort(F.collect_list(F.struct("idx", "hash"))).alias("run"))
+            .agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("run"))
         )
         runs = stage(runs, f"{label}-runs").df
         digests = F.transform("run", lambda x: x["hash"])
@@ -90,19 +97,27 @@ def build_tree(nodes: DataFrame, top: int, label: str) -> tuple[DataFrame, DataF
         )
         current = stage(parents, f"{label}-level").df
         all_nodes.append(current)
-        links.append(
-            runs.select("t", "run", F.posexplode(digests).alias("pos", "hash")).select(
-                "t",
-                F.lit(level).alias("level"),
-                F.col("run")[F.col("pos")]["idx"].alias("idx"),
-                F.array_join(F.slice(digests, 1, F.col("pos")), "").alias("left"),
-                F.array_join(F.slice(digests, F.col("pos") + 2, FANOUT), "").alias("right"),
-            )
-        )
+        if level == 0:
+            first_runs = runs
+            if payload:
+                continue
+        links.append(sibling_segments(runs).withColumn("level", F.lit(level)))
     union = all_nodes[0]
     for df in all_nodes[1:]:
         union = union.unionByName(df)
-    return union, links
+    return union, links, first_runs
+
+
+def sibling_segments(runs: DataFrame) -> DataFrame:
+    """(t, idx, left, right, entry): each member of a run with the digests before and after it, as bytes."""
+    digests = F.transform("run", lambda x: x["hash"])
+    return runs.select("t", "run", F.posexplode(digests).alias("pos", "hash")).select(
+        "t",
+        F.col("run")[F.col("pos")]["idx"].alias("idx"),
+        F.unhex(F.array_join(F.slice(digests, 1, F.col("pos")), "")).alias("left"),
+        F.unhex(F.array_join(F.slice(digests, F.col("pos") + 2, FANOUT), "")).alias("right"),
+        F.col("run")[F.col("pos")].alias("entry"),
+    )
 
 
 def manifest(docs: DataFrame, tamper: bool = True) -> DataFrame:
@@ -137,15 +152,15 @@ def manifest(docs: DataFrame, tamper: bool = True) -> DataFrame:
     ranked = rank_rows(
         keyed.select("t", "d", "doc_id", "leaf", "folded_leaf"), ["t"], [F.col("doc_id").asc_nulls_first(), F.col("leaf")], label="merkle-leaf-order"
     ).rows
-    ranked = stage(ranked.withColumn("idx", F.col("rank") - 1).drop("rank"), "merkle-ranked").df
-    level0 = ranked.select("t", F.lit(0).alias("level"), "idx", F.col("leaf").alias("hash"), "d")
-    source_nodes, source_links = build_tree(level0, top, "merkle-source")
+    ranked = ranked.withColumn("idx", F.col("rank") - 1).drop("rank")
+    level0 = ranked.select("t", F.lit(0).alias("level"), "idx", F.col("leaf").alias("hash"), "d", "doc_id", "folded_leaf")
+    source_nodes, source_links, leaf_runs = build_tree(level0, top, "merkle-source", ("doc_id", "folded_leaf"))
 
     tops = source_nodes.where(F.col("level") == F.col("d")).select("t", F.col("hash").alias("subroot"))
     tops = stage(tops, "merkle-subroots")
     root_depth = levels_for(n_sources)
     root_level0 = tops.df.select(F.lit(0).alias("t"), F.lit(0).alias("level"), (F.col("t") - 1).alias("idx"), F.col("subroot").alias("hash"), F.lit(root_depth).alias("d"))
-    root_nodes, root_links = build_tree(root_level0, root_depth, "merkle-root")
+    root_nodes, root_links, _ = build_tree(root_level0, root_depth, "merkle-root")
     root = root_nodes.where(F.col("level") == root_depth).select("hash").first()[0]
 
     seg = F.struct(F.col("left"), F.col("right"))
@@ -155,13 +170,14 @@ def manifest(docs: DataFrame, tamper: bool = True) -> DataFrame:
     ]
     records = [
         link.select("t", F.col("level").cast("int"), "idx", *parent_of, F.array(seg).alias("segs")) for link in [*source_links, *root_links]
+        if link is not None
     ]
     # The top of a source tree points to its subroot among the subroots, with no segment.
     records.append(
         tops.df.join(trees.df.select("t", "d"), "t").select(
             "t", F.col("d").cast("int").alias("level"), F.lit(0).cast("long").alias("idx"),
             F.lit(0).cast("long").alias("at"), F.lit(0).alias("al"), (F.col("t") - 1).alias("ai"),
-            F.array().cast("array<struct<left:string,right:string>>").alias("segs"),
+            F.array().cast("array<struct<left:binary,right:binary>>").alias("segs"),
         )
     )
     # The root points nowhere.
@@ -169,7 +185,7 @@ def manifest(docs: DataFrame, tamper: bool = True) -> DataFrame:
         spark.range(1).select(
             F.lit(0).cast("long").alias("t"), F.lit(root_depth).alias("level"), F.lit(0).cast("long").alias("idx"),
             F.lit(None).cast("long").alias("at"), F.lit(None).cast("int").alias("al"), F.lit(None).cast("long").alias("ai"),
-            F.array().cast("array<struct<left:string,right:string>>").alias("segs"),
+            F.array().cast("array<struct<left:binary,right:binary>>").alias("segs"),
         )
     )
     table = records[0]
@@ -177,12 +193,22 @@ def manifest(docs: DataFrame, tamper: bool = True) -> DataFrame:
         table = table.unionByName(r)
     jumped = jump(stage(table, "merkle-pointers"), source_level_sizes(trees.df, top), n_sources, top, root_depth)
 
-    proofs = jumped.where(F.col("level") == 0).where(F.col("t") > 0).select("t", "idx", "segs")
-    found = ranked.join(proofs, ["t", "idx"], "left")
-    found = found.join(broadcast_if_small(tops.df, tops.rows), "t")
-    segs = F.coalesce(F.col("segs"), F.array().cast("array<struct<left:string,right:string>>"))
-    proof = F.sha2(F.array_join(F.transform(segs, lambda s: F.concat(s["left"], s["right"])), ""), 256)
-    folded = F.aggregate(segs, F.col("folded_leaf"), lambda acc, s: F.sha2(F.concat(s["left"], acc, s["right"]), 256))
+    # Leaves attach to the finished proof of their parent; a lone leaf is its source's top.
+    above = jumped.select("t", "level", "idx", F.col("segs").alias("above"))
+    lone = ranked.where(F.col("d") == 0).join(above.where(F.col("level") == 0), ["t", "idx"]).select(
+        "t", "doc_id", "leaf", "folded_leaf", F.col("above").alias("segs")
+    )
+    if leaf_runs is not None:
+        leaves = sibling_segments(leaf_runs).select(
+            "t", "idx", "entry.doc_id", F.col("entry.hash").alias("leaf"), "entry.folded_leaf", F.array(seg).alias("own")
+        )
+        parents = above.where(F.col("level") == 1).select("t", F.col("idx").alias("_parent"), "above")
+        attached = leaves.withColumn("_parent", F.floor(F.col("idx") / FANOUT).cast("long")).join(parents, ["t", "_parent"])
+        lone = attached.select("t", "doc_id", "leaf", "folded_leaf", F.concat("own", "above").alias("segs")).unionByName(lone)
+    found = lone.join(broadcast_if_small(tops.df, tops.rows), "t")
+    text = lambda b: F.lower(F.hex(b))
+    proof = F.sha2(text(F.aggregate("segs", F.lit(b"").cast("binary"), lambda acc, s: F.concat(acc, s["left"], s["right"]))), 256)
+    folded = F.aggregate("segs", F.col("folded_leaf"), lambda acc, s: F.sha2(F.concat(text(s["left"]), acc, text(s["right"])), 256))
     return found.select(
         "doc_id", "leaf", "subroot", F.lit(root).alias("root"), proof.alias("proof_sha256"), folded.alias("folded_root")
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
