@@ -70,7 +70,10 @@ def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The shingles that a text is filed under; those in the sorted ``common`` come last."""
     n = len(found)
     if len(common):
-        found = np.concatenate([found[~np.isin(found, common)], found[np.isin(found, common)]])
+        # ``common`` is sorted: one binary search per shingle, no sort of the list again.
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        held = common[at] == found
+        found = np.concatenate([found[~held], found[held]])
     return found[: n - (4 * n + 4) // 5 + 1]
 
 
