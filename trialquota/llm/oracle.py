@@ -98,3 +98,42 @@ limits AS MATERIALIZED (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, base_failed,
   CASE WHEN base_failed THEN false ELSE {verdict} END AS kept
 FROM counts c"""
+
+
+def collocations_sql() -> str:
+    """Every phrase counted whole, then scored, filtered and ranked as the collocation query defines."""
+    from trialquota.llm import phrases
+
+    low, high = phrases.CONTAINED_SHARE
+    return f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS ws FROM p),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i
+        FROM w, (SELECT unnest(range(1, {phrases.LONGEST + 1})) AS k) ks WHERE len(ws) >= k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*)::BIGINT AS f FROM g GROUP BY lang, k, phrase),
+cand AS MATERIALIZED (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= {phrases.SHORTEST} AND f >= {phrases.MIN_COUNT}),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, j, lf.f AS l, rf.f AS r,
+         ((CAST({phrases.SCALE} AS HUGEINT) * c.a) // (lf.f + rf.f))::BIGINT AS score
+  FROM (SELECT lang, phrase, a, ws, k, unnest(range(1, k)) AS j FROM cand) c
+  JOIN f lf ON lf.lang = c.lang AND lf.phrase = array_to_string(list_slice(c.ws, 1, j), ' ')
+  JOIN f rf ON rf.lang = c.lang AND rf.phrase = array_to_string(list_slice(c.ws, j + 1, c.k), ' ')),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM cuts) WHERE o = 1),
+inner_ AS (
+  SELECT lang, array_to_string(list_slice(ws, s, s + m - 1), ' ') AS phrase, max(a) AS outer_a
+  FROM (SELECT lang, ws, a, m, unnest(range(1, k - m + 2)) AS s
+        FROM (SELECT lang, ws, a, k, unnest(range({phrases.SHORTEST}, k)) AS m FROM cand WHERE k > {phrases.SHORTEST}))
+  GROUP BY 1, 2),
+kept AS (
+  SELECT b.lang, b.phrase, b.a, b.l, b.r, b.score FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE i.outer_a IS NULL OR i.outer_a * {low} < b.a * {high}),
+ranked AS (
+  SELECT k.*, t.n, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM kept k JOIN totals t ON t.lang = k.lang)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= {phrases.TOP}
+"""

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trialquota.llm import bytebpe, decontam, linededup, merkle, oracle, pagetext, personal, quality, repeats, simhash, tokencount, tokenfiles
+from trialquota.llm import (
+    bytebpe, decontam, linededup, merkle, oracle, packing, pagetext, personal, phrases, quality, repeats, simhash, tokencount, tokenfiles,
+)
 from trialquota.llm.common import staged_path, table
 
 
@@ -56,6 +58,14 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -65,4 +75,8 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_queries() -> dict[str, str]:
-    return {"op1_quality_rules": oracle.quality_sql(), "op5_benchmark_decontamination": oracle.contamination_sql()}
+    return {
+        "op1_quality_rules": oracle.quality_sql(),
+        "op5_benchmark_decontamination": oracle.contamination_sql(),
+        "op11_phrase_collocations": oracle.collocations_sql(),
+    }
