@@ -63,6 +63,19 @@ def check(found, caps):
     return len(by_seq)
 
 
+def test_token_encoder_equals_library():
+    import random
+
+    parts = ["a", " ", "\n", "  ", "the", "'s", "'ll", "é", "日本", "1", "23", "!!", "\t", " ", "　", "😀", "\0",
+             "<|endoftext|>", "<|endoftext", "|>", "</s>", "Don't", ".", "..", ", ", "Word,", "   x", "\r\n"]
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(3000)] + ["", "ab " * 5000]
+    library = Tokenizer.from_file(PATH)
+    own = packing.TokenEncoder(PATH, public_tokenizers.PATTERN)
+    assert own.encode(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert own.encode(texts[:50]) == [e.ids for e in library.encode_batch(texts[:50], add_special_tokens=False)]
+
+
 def test_cut():
     assert packing.cut(1, 4) == [1] and packing.cut(4, 4) == [4]
     assert packing.cut(5, 4) == [1, 4] and packing.cut(8, 4) == [4, 4] and packing.cut(9, 4) == [1, 4, 4]
@@ -70,7 +83,7 @@ def test_cut():
 
 def test_awkward_rows_pieces_and_one_group_equal_brute_force(spark):
     rows = awkward_documents()
-    found = packing.pack(documents(spark, rows), PATH).collect()
+    found = packing.pack(documents(spark, rows), PATH, public_tokenizers.PATTERN).collect()
     got = sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found), key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2], x[4]))
     assert got == expected_pieces(rows)
     caps = packing.Capacities()
@@ -92,7 +105,7 @@ def test_groups_lose_little(spark):
     old = packing.GROUP_PIECES
     packing.GROUP_PIECES = 700
     try:
-        found = packing.pack(documents(spark, rows), PATH).collect()
+        found = packing.pack(documents(spark, rows), PATH, public_tokenizers.PATTERN).collect()
     finally:
         packing.GROUP_PIECES = old
     caps = packing.Capacities()
@@ -102,4 +115,4 @@ def test_groups_lose_little(spark):
 
 
 def test_empty(spark):
-    assert packing.pack(documents(spark, []), PATH).collect() == []
+    assert packing.pack(documents(spark, []), PATH, public_tokenizers.PATTERN).collect() == []

@@ -11,8 +11,9 @@ product of the piece's demand and the residuals (``rule="dot"``), ties to the
 earliest opened sequence; where none fits, a new sequence opens.  Pieces are
 placed longest first.
 
-Scale: tokenizing runs on Arrow batches in each task and keeps only lengths and
-checksums.  Pieces are dealt by a hash of their row into groups of about
+Scale: tokenizing runs on Arrow batches in slices of about a megabyte of text,
+by rank merging over the file's own vocabulary (``TokenEncoder``, equal to the
+library's ids and tested so), and keeps only lengths and checksums.  Pieces are dealt by a hash of their row into groups of about
 ``GROUP_PIECES``, each packed in one task with memory linear in the group; a
 group leaves at most a few sequences less full than one global pass would.
 Every piece is packed; nothing is dropped or capped.
@@ -25,6 +26,7 @@ are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
@@ -32,10 +34,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import DataFrame, functions as F
-from tokenizers import Tokenizer
 
 from trialquota.llm.common import stage
+from trialquota.llm.wordcodes import slices
+
+SLICE_BYTES = 1 << 20
 
 GROUP_PIECES = 20_000
 PIECES_SCHEMA = "_row long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -57,9 +62,45 @@ class Capacities:
     rule: str = "norm"
 
 
+def byte_table() -> dict[str, int]:
+    """The byte-level tokenizers' stand-in characters: printable Latin-1 stands for itself, other bytes for 256 onwards."""
+    kept = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    others = [b for b in range(256) if b not in kept]
+    return {chr(b): b for b in kept} | {chr(256 + n): b for n, b in enumerate(others)}
+
+
+class TokenEncoder:
+    """Ids of a byte-level BPE tokenizer file, as the tokenizers library gives them without added special tokens.
+
+    The file's vocabulary becomes ranks of byte strings.  Merging the lowest rank
+    first equals applying the file's merges in order when the merged tokens' ids
+    grow with the merge order; that is checked on loading, and a file where it
+    fails is refused.  Special strings in a text are matched first and stand for
+    their ids, as the library does by default; the rest is split by ``pattern``.
+    """
+
+    def __init__(self, path: str, pattern: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model = spec["model"]
+        if model.get("type") != "BPE" or spec.get("normalizer") or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
+            raise ValueError("only byte-level BPE files without normalizer are supported")
+        table, vocab = byte_table(), model["vocab"]
+        ranks = {bytes(table[c] for c in token): i for token, i in vocab.items()}
+        merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if any(a >= b for a, b in zip(merged, merged[1:])) or (merged and min(merged) <= max(ranks[bytes([b])] for b in range(256))):
+            raise ValueError("merge order and token ids differ; rank merging would give other ids")
+        specials = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t.get("special")}
+        plain = {k: v for k, v in ranks.items() if v not in specials.values()}
+        self.encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=plain, special_tokens=specials)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.encoding.encode_batch(texts, allowed_special="all", num_threads=1)
+
+
 @lru_cache(maxsize=4)
-def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer.from_file(path)
+def encoder(path: str, pattern: str) -> TokenEncoder:
+    return TokenEncoder(path, pattern)
 
 
 def cut(n: int, limit: int) -> list[int]:
@@ -68,25 +109,25 @@ def cut(n: int, limit: int) -> list[int]:
     return [n - full * limit] + [limit] * full
 
 
-def pieces_of(batches, path: str, end_id: int, limit: int):
+def pieces_of(batches, path: str, pattern: str, end_id: int, limit: int):
     """(_row, doc_id, piece, start, length, ids_crc32) for every piece of every document."""
-    tok = tokenizer(path)
+    own = encoder(path, pattern)
     for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        encoded = tok.encode_batch(texts, add_special_tokens=False)
-        out = {k: [] for k in ("_row", "doc_id", "piece", "start", "length", "ids_crc32")}
-        for row, doc_id, enc in zip(batch.column("_row").to_pylist(), batch.column("doc_id").to_pylist(), encoded):
-            ids = np.asarray(enc.ids + [end_id], dtype="<u4")
-            start = 0
-            for k, length in enumerate(cut(len(ids), limit)):
-                out["_row"].append(row)
-                out["doc_id"].append(doc_id)
-                out["piece"].append(k)
-                out["start"].append(start)
-                out["length"].append(length)
-                out["ids_crc32"].append(zlib.crc32(ids[start : start + length].tobytes()))
-                start += length
-        yield pa.RecordBatch.from_pydict(out, schema=PIECES_ARROW)
+        for part, texts in slices(batch, "text", SLICE_BYTES):
+            out = {k: [] for k in ("_row", "doc_id", "piece", "start", "length", "ids_crc32")}
+            encoded = own.encode(texts.to_pylist())
+            for row, doc_id, ids in zip(part.column("_row").to_pylist(), part.column("doc_id").to_pylist(), encoded):
+                ids = np.asarray(ids + [end_id], dtype="<u4")
+                start = 0
+                for k, length in enumerate(cut(len(ids), limit)):
+                    out["_row"].append(row)
+                    out["doc_id"].append(doc_id)
+                    out["piece"].append(k)
+                    out["start"].append(start)
+                    out["length"].append(length)
+                    out["ids_crc32"].append(zlib.crc32(ids[start : start + length].tobytes()))
+                    start += length
+            yield pa.RecordBatch.from_pydict(out, schema=PIECES_ARROW)
 
 
 def best_fit(lengths: np.ndarray, caps: Capacities) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +178,7 @@ def pack_group(table: pa.Table, caps: Capacities) -> pa.Table:
     return pa.Table.from_arrays([*columns, pa.array(group * (1 << 32) + sequence), pa.array(offset)], schema=PLACED_ARROW)
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 0, caps: Capacities = Capacities()) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, end_id: int = 0, caps: Capacities = Capacities()) -> DataFrame:
     """Pieces of all documents with their sequence and place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     ``sequence_id`` is the group number times 2**32 plus the sequence's number in its group.
@@ -147,7 +188,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, caps: Capacities = Capacit
         "_row", F.monotonically_increasing_id()
     )
     limit = caps.tokens
-    pieces = stage(rows.mapInArrow(lambda b: pieces_of(b, path, end_id, limit), PIECES_SCHEMA), "packing-pieces")
+    pieces = stage(rows.mapInArrow(lambda b: pieces_of(b, path, pattern, end_id, limit), PIECES_SCHEMA), "packing-pieces")
     groups = max(1, -(-pieces.rows // GROUP_PIECES))
     keyed = pieces.df.withColumn("_group", F.pmod(F.xxhash64("_row", "piece"), F.lit(groups)))
     return keyed.groupBy("_group").applyInArrow(lambda t: pack_group(t, caps), PLACED_SCHEMA)

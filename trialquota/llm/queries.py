@@ -63,7 +63,7 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
