@@ -157,3 +157,37 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     single = kept.where("_w_rows = 1")
     repeated = kept.where("_w_rows > 1").dropDuplicates(["_wdoc_id", "_k1", "_k2"])
     return single.unionByName(repeated).select("row.*")
+
+
+def drop_simhash_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+    """Rows of ``docs`` that come first in their SimHash component, with all their columns.
+
+    Components are those of ``simhash_components``: fingerprints of ``shingle``-word
+    shingles linked at three or fewer differing bits, nothing else.  First is the
+    smallest id (null last), then the smallest text key; of rows equal in id and
+    text one stays.  The first text of each fingerprint is found before the
+    shuffle, then the first of each component, so a component of any size is
+    never gathered row by row.
+
+    Defined cases: a null text counts as empty (fingerprint zero, linked like any
+    other); repeated rows leave one; null ids stay only where a component has no
+    other; an empty table gives no rows; columns of any name pass through.
+    """
+    prints = stage(text_fingerprints(docs, doc_id, text, shingle), "prints").df
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2", "_rows")
+    per_print = prints.groupBy("fingerprint").agg(F.min(order).alias("w"))
+    first = per_print.join(fingerprint_components(prints), "fingerprint").groupBy("root").agg(F.min("w").alias("w"))
+    winners = stage(
+        first.select(*[F.col(f"w.{c}").alias(f"_w{c}") for c in ("doc_id", "_k1", "_k2", "_rows")]), "winners"
+    ).df
+    k1, k2 = text_key(F.col(f"row.{text}"))
+    keyed = packed(docs).withColumns({"_id": F.col(f"row.{doc_id}"), "_k1": k1, "_k2": k2})
+    match = (
+        keyed["_id"].eqNullSafe(winners["_wdoc_id"])
+        & (keyed["_k1"] == winners["_w_k1"])
+        & (keyed["_k2"] == winners["_w_k2"])
+    )
+    kept = keyed.join(winners, match)
+    single = kept.where("_w_rows = 1")
+    repeated = kept.where("_w_rows > 1").dropDuplicates(["_wdoc_id", "_k1", "_k2"])
+    return single.unionByName(repeated).select("row.*")
