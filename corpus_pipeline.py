@@ -4,7 +4,9 @@ Stages, in order: quality rules drop the documents they reject; line dedup
 removes repeated lines from the texts; SimHash near-dedup keeps one document of
 each group; benchmark decontamination drops contaminated documents; byte-level
 BPE encodes what is left.  Every stage but the last returns the columns of
-documents; n_chars follows the text where a stage changes it.
+documents; n_chars follows the text where a stage changes it.  Each stage first
+deletes the tables that earlier stages wrote on the way, since its input is
+written and read again.
 """
 
 from __future__ import annotations
@@ -13,29 +15,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialquota.llm import bytebpe, decontam, linededup, quality, simhash
-from trialquota.llm.common import stage, table
+from trialquota.llm.common import release_staged, stage, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release_staged(spark, keep=docs)
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release_staged(spark, keep=docs)
     shorter = linededup.drop_repeated_lines(docs)
     n_chars = F.when(F.col("_n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return shorter.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release_staged(spark, keep=docs)
     # The SimHash operator as its query defines it: 3-word shingles, links at 3 or fewer differing bits.
     return simhash.drop_simhash_duplicates(docs, shingle=3)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release_staged(spark, keep=docs)
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release_staged(spark, keep=docs)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bytebpe.encode_decode(docs, ranks, public_tokenizers.PATTERN)
 

@@ -39,6 +39,8 @@ class Staged:
     def drop(self) -> None:
         path, fs = self._folder()
         fs.delete(path, True)
+        if self.path in _made:
+            _made.remove(self.path)
 
     def for_broadcast(self) -> DataFrame:
         """The table, hinted for broadcast when both its rows and its bytes are below the limits.
@@ -53,15 +55,40 @@ def staged_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+#: Folders ``stage`` wrote in this process, oldest first, until ``release_staged`` deletes them.
+_made: list[str] = []
+
+
 def stage(df: DataFrame, label: str, **checks: Column) -> Staged:
     """Write ``df`` as Parquet under the checkpoint folder; lost executors only cost a re-read."""
     spark = df.sparkSession
     path = staged_path(spark, label)
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    _made.append(path)
     return Staged(spark.read.schema(df.schema).parquet(path), path, seen.get["rows"])
 
 
+def release_staged(spark: SparkSession, keep: DataFrame | None = None) -> int:
+    """Delete every table ``stage`` wrote so far, except those that ``keep`` reads; returns how many went.
+
+    A stage of a pipeline calls it first: the tables of earlier stages are then
+    no longer read, since its input is written.
+    """
+    held = [f.split(":", 1)[-1] for f in keep.inputFiles()] if keep is not None else []
+    gone = 0
+    for path in list(_made):
+        folder = path.split(":", 1)[-1].rstrip("/") + "/"
+        if any(folder in f for f in held):
+            continue
+        context = spark.sparkContext
+        hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _made.remove(path)
+        gone += 1
+    return gone
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """All columns as one struct ``row``, so that no name of theirs can clash; ``row.*`` unpacks it."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
