@@ -44,9 +44,12 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     release_staged(spark, keep=docs)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bytebpe.encode_decode(docs, ranks, public_tokenizers.PATTERN)
+    # Smaller slices than the operator's default: executors reach this last stage with the heap earlier stages grew.
+    return bytebpe.encode_decode(docs, ranks, public_tokenizers.PATTERN, slice_bytes=SLICE_BYTES)
 
 
+SLICE_BYTES = 2 << 20
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from trialquota.llm.wordcodes import Memo, gathered_ids, slices, word_codes
+from trialquota.llm.wordcodes import SLICE_BYTES, Memo, gathered_ids, slices, word_codes
 
 NO_LIMIT = 1 << 62
 PAIRS = 1 << 20
@@ -201,13 +201,18 @@ def codec(path: str, pattern: str) -> TextCodec:
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: number of ids, digest of the ids, digest of the bytes decoded from them."""
+def encode_decode(
+    docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", slice_bytes: int = SLICE_BYTES
+) -> DataFrame:
+    """Per row: number of ids, digest of the ids, digest of the bytes decoded from them.
+
+    Texts are worked on in slices of about ``slice_bytes`` (one text at least), which bounds a task's memory.
+    """
 
     def digests(batches):
         own = codec(path, pattern)
         for batch in batches:
-            for part, texts in slices(batch, text):
+            for part, texts in slices(batch, text, slice_bytes):
                 ids, starts = own.encode(texts)
                 taken = pa.array(ids)
                 shown = [hashlib.sha256(x[:-1]).hexdigest() for x in spans(own.decimals.take(taken), starts)]
