@@ -57,11 +57,11 @@ BUCKETS = 64
 def pieces(docs: DataFrame) -> DataFrame:
     """(lang, words, sampled): one row per piece with at least one word."""
     text = F.translate(F.coalesce(F.col("`text`"), F.lit("")), UPPER, UPPER.lower())
-    split = docs.select(
-        F.coalesce(F.col("`lang`"), F.lit("und")).alias("lang"),
-        F.xxhash64(F.lit(SEED), text).alias("_doc"),
-        F.posexplode(F.split(text, PIECE_BREAKS)).alias("_pos", "_piece"),
-    )
+    # Whole-text expressions are worked out below the explode: beside it they would run once a piece.
+    lowered = docs.select(
+        F.coalesce(F.col("`lang`"), F.lit("und")).alias("lang"), text.alias("_text")
+    ).withColumn("_doc", F.xxhash64(F.lit(SEED), "_text"))
+    split = lowered.select("lang", "_doc", F.posexplode(F.split("_text", PIECE_BREAKS)).alias("_pos", "_piece"))
     words = F.filter(F.split("_piece", WORD_BREAKS), lambda w: w != "")
     drawn = F.pmod(F.xxhash64("_doc", "_pos", "_piece"), F.lit(1_000_000)) < int(SAMPLE * 1_000_000)
     return split.select("lang", words.alias("words"), drawn.alias("sampled")).where(F.size("words") > 0)
