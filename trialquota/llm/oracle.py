@@ -95,8 +95,8 @@ limits AS MATERIALIZED (
       FROM ({quartiles('lang, source')}) o
       LEFT JOIN ({quartiles('lang')}) l ON o.measure = l.measure AND o.lang IS NOT DISTINCT FROM l.lang
       LEFT JOIN ({quartiles('')}) a ON o.measure = a.measure)))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, base_failed,
-  CASE WHEN base_failed THEN false ELSE {verdict} END AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  CASE WHEN base_failed THEN false ELSE {verdict} END AS kept, n_lines, n_capitals
 FROM counts c"""
 
 

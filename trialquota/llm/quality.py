@@ -239,7 +239,8 @@ def quality(
     """Per row: the counts, base_failed, and whether the document is kept."""
     counts = stage(measured(docs, doc_id, text, lang, source), "counts").df
     limits = thresholds(sketches(counts), min_group)
-    return judged(counts, limits).select("doc_id", *COUNTS, "base_failed", "kept")
+    # The contract's columns first; the two further counts follow them.
+    return judged(counts, limits).select("doc_id", *COUNTS[:5], "base_failed", "kept", *COUNTS[5:])
 
 
 def keep_good(
