@@ -1,6 +1,9 @@
 import random
+from dataclasses import replace
 
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from trialquota.operators import boosting, encoding, nuisance
@@ -132,3 +135,57 @@ def test_categories_beyond_the_bins_stay_nominal(spark):
     scored = boosting.predict(model, framed, "p").groupBy("y").agg(F.min("p").alias("low"), F.max("p").alias("high")).collect()
     low, high = sorted(scored, key=lambda r: r.y)
     assert low.high < high.low
+
+
+def test_a_fit_reads_cells_and_predicts_as_a_fit_on_rows(spark):
+    # 2,400 rows, 24 feature vectors, 48 cells: before, every pass read all rows.
+    rows = [(i, float(i % 6), i // 6 % 4, float((i * 7919) % 10 < 2 + i % 6 + 2 * (i // 6 % 4 == 2))) for i in range(2400)]
+    df = spark.createDataFrame(rows, "row_id long, x double, g int, y double")
+    framed = encoding.feature_vector(df, ["x"], ["g"], {"g": 4})
+    counted = boosting.cells(framed, "y")
+    assert counted.count() <= 48 and counted.agg(F.sum("_weight")).first()[0] == 2400
+    assert encoding.nominal_values(counted) == 5
+    plain = GBTClassifier(
+        featuresCol="features", labelCol="y", maxIter=4, stepSize=0.3, maxDepth=2, minInstancesPerNode=5, maxBins=16, seed=TREES.seed
+    ).fit(framed)
+    model = boosting.fit_rounds(framed, "y", "classifier", 4, TREES)
+    both = boosting.predict(model, boosting.predict(plain, framed, "a"), "b")
+    assert both.agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] < 1e-9
+    assert model.evaluateEachIteration(counted) == pytest.approx(plain.evaluateEachIteration(framed))
+    # The minimum counts rows, not cells: 1,201 rows a side can't be had.
+    stump = boosting.fit_rounds(framed, "y", "classifier", 1, replace(TREES, min_rows=1201))
+    assert stump.totalNumNodes == 1
+    squared = GBTRegressor(
+        featuresCol="features", labelCol="y", maxIter=4, stepSize=0.3, maxDepth=2, minInstancesPerNode=5, maxBins=16, seed=TREES.seed
+    ).fit(framed)
+    model = boosting.fit_rounds(framed, "y", "regressor", 4, TREES)
+    both = boosting.predict(model, boosting.predict(squared, framed, "a"), "b")
+    assert both.agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] < 1e-9
+
+
+def test_fewer_cells_than_categories_still_fit(spark):
+    df = spark.createDataFrame([(i % 3, float(i % 3 == 1)) for i in range(300)], "g int, y double")
+    framed = encoding.feature_vector(df, [], ["g"], {"g": 40})
+    scored = boosting.predict(boosting.fit_rounds(framed, "y", "classifier", 2, TREES), framed, "p")
+    low, high = scored.groupBy("y").agg(F.min("p").alias("a"), F.max("p").alias("b")).orderBy("y").collect()
+    assert low.b < high.a
+
+
+def test_trees_send_unbinned_rows_where_their_bins_went(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.gauss(0, 1), float(i % 5)) for i in range(3000)] + [(3000, None, None), (3001, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "row_id long, x double, k double")
+    values = boosting.bin_values(df, ["x", "k"], 16)
+    assert set(values) == {"x"} and 2 < len(values["x"]) <= 16
+    near = boosting.binned(df.withColumn("raw", F.col("x")), values).collect()
+    for r in near[:3000]:
+        assert r.x == min(values["x"], key=lambda v: (abs(v - r.raw), v))
+    assert near[3000].x is None and near[3001].x != near[3001].x
+    finite = df.where("row_id < 3000").withColumns({"y": (F.col("x") > 0.3).cast("double"), "raw": F.col("x")})
+    raw = encoding.feature_vector(finite, ["x"], [], {})
+    cut = encoding.feature_vector(boosting.binned(finite, values), ["x"], [], {})
+    assert boosting.cells(cut, "y").count() <= 32
+    model = boosting.fit_rounds(cut, "y", "classifier", 3, TREES)
+    a = boosting.predict(model, raw, "p").select("row_id", "p")
+    b = boosting.predict(model, cut, "p").select("row_id", F.col("p").alias("q"))
+    assert a.join(b, "row_id").where("p <> q").count() == 0
