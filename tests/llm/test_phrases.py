@@ -85,3 +85,21 @@ def test_small_sample_needs_further_passes(spark):
 def test_empty_and_awkward(spark):
     assert run(spark, []) == []
     assert run(spark, awkward_documents()) == brute(awkward_documents())
+
+
+def test_filter_that_lets_others_through_stays_exact(spark, monkeypatch):
+    # 64 bits hold hundreds of keys: nearly every phrase passes, in every pass.
+    monkeypatch.setattr(phrases, "FILTER_BITS", 0)
+    monkeypatch.setattr(phrases, "LARGEST_FILTER", 6)
+    rows = corpus(n=150)
+    assert run(spark, rows, sample=0.01) == brute(rows)
+
+
+def test_copies_are_counted_before_they_reach_spark(spark):
+    rows = [(i, "to be or not to be", "en", "s", 0, None, None, None) for i in range(500)]
+    docs = documents(spark, rows).coalesce(1)
+    words = phrases.stage(phrases.word_counts(docs), "test-words")
+    grams = phrases.gram_counts(docs, phrases.bitmap(words), 2, 1)
+    plan = grams._jdf.queryExecution().toString()
+    assert "transform(" not in plan and "MapInArrow" in plan
+    assert sorted((r.k, r.f) for r in grams.collect()) == [(2, 500), (2, 500), (2, 500), (2, 1000)]

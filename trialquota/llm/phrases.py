@@ -5,7 +5,7 @@ into words at runs of spaces and tabs.  All counting is per language (null:
 ``und``).  ``f(p)`` is the number of contiguous occurrences of phrase ``p``
 within pieces, overlaps included; a phrase is frequent when ``f >= MIN_COUNT``.
 
-Toivonen's method: a seeded sample of ``SAMPLE`` of the pieces proposes the
+Toivonen's method: a seeded sample of ``SAMPLE`` of the texts proposes the
 phrases frequent in it at a lowered threshold.  One full pass then counts,
 exactly, every occurring phrase whose two sub-phrases of one word fewer are
 proposed (single words are counted whole, so every two-word phrase of frequent
@@ -17,9 +17,13 @@ frequent only if both its sub-phrases are, so the result is exact whatever the
 sample holds; the sample only decides how much the full passes filter out
 before they shuffle.
 
-The proposed set is a written table, broadcast when its size is below the
-limits and joined by a shuffle otherwise; counts combine map-side, so a very
-frequent phrase is never gathered row by row.  A candidate (2 to 4 words,
+Words go by 64 bits of their language and spelling, phrases by the keys of both
+sub-phrases (128 bits).  A pass reads the texts once more in Arrow batches and
+counts phrases within a slice before they reach Spark, so a very frequent phrase
+is never gathered row by row.  The proposed set goes to the tasks as a bitmap of
+bounded size: it lets all proposed phrases through, and some others, which are
+then counted exactly as well.  Only frequent phrases are spelled out at the end.
+A candidate (2 to 4 words,
 ``f >= MIN_COUNT``) is scored at its weakest cut, ``floor(2000000 a / (l + r))``
 in exact decimal arithmetic; candidates inside a longer candidate that keeps 80%
 of their count are dropped; each language reports its first ``TOP`` phrases by
@@ -33,111 +37,233 @@ than text and lang are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from trialquota.llm.common import stage
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window, functions as F
+
+from trialquota.llm.common import Staged, stage
+from trialquota.llm.repeats import text_bytes
+from trialquota.llm.wordcodes import slices
 
 # Fixed by the contract: piece breaks, word breaks, the smallest count, the score scale, the report size, phrase lengths.
-PIECE_BREAKS = "[.,;:!?\\x0A-\\x0D]"
-WORD_BREAKS = "[ \\t]+"
+PIECE_BREAKS = b".,;:!?\n\v\f\r"
+WORD_BREAKS = b" \t"
 MIN_COUNT = 30
 SCALE = 2_000_000
 TOP = 2000
 SHORTEST, LONGEST = 2, 4
 CONTAINED_SHARE = (100, 80)
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Of each byte: 0 inside a word, 1 between words, 2 between pieces; and its lower case (A-Z).
+KINDS = np.zeros(256, np.uint8)
+KINDS[list(WORD_BREAKS)], KINDS[list(PIECE_BREAKS)] = 1, 2
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
 
-#: Share of pieces in the sample, its seed, and the share of MIN_COUNT * SAMPLE a phrase needs in it to be proposed.
+#: Share of texts in the sample, its seed, and the share of MIN_COUNT * SAMPLE a phrase needs in it to be proposed.
 SAMPLE = 0.1
 SEED = 11
 LOWERED = 0.7
 BUCKETS = 64
+SLICE_BYTES = 4 << 20
+#: Bits of a filter for each key, and the logarithm of its largest size (2 ** 27 bits are 16 MB).
+FILTER_BITS = 32
+LARGEST_FILTER = 27
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """(lang, words, sampled): one row per piece with at least one word."""
-    text = F.translate(F.coalesce(F.col("`text`"), F.lit("")), UPPER, UPPER.lower())
-    # Whole-text expressions are worked out below the explode: beside it they would run once a piece.
-    lowered = docs.select(
-        F.coalesce(F.col("`lang`"), F.lit("und")).alias("lang"), text.alias("_text")
-    ).withColumn("_doc", F.xxhash64(F.lit(SEED), "_text"))
-    split = lowered.select("lang", "_doc", F.posexplode(F.split("_text", PIECE_BREAKS)).alias("_pos", "_piece"))
-    words = F.filter(F.split("_piece", WORD_BREAKS), lambda w: w != "")
-    drawn = F.pmod(F.xxhash64("_doc", "_pos", "_piece"), F.lit(1_000_000)) < int(SAMPLE * 1_000_000)
-    return split.select("lang", words.alias("words"), drawn.alias("sampled")).where(F.size("words") > 0)
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _ODD[0]
+    h = (h ^ (h >> np.uint64(29))) * _ODD[1]
+    return h ^ (h >> np.uint64(32))
 
 
-def joined(words: Column, start: Column, length: int) -> Column:
-    return F.array_join(F.slice(words, start + 1, length), " ")
+def phrase_keys(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Keys of the phrases made of a prefix (all words but the last) and a suffix (all but the first).
 
+    The last two bits of a key hold the number of words: 1 to 3, and 0 for four.
+    """
+    number = ((prefix & np.uint64(3)) + np.uint64(1)) & np.uint64(3)
+    return (mixed(prefix * _ODD[2] + suffix * _ODD[3]) & ~np.uint64(3)) | number
 
-def grams(words: Column) -> Column:
-    """Every phrase of 2 to 4 words of a piece, with its two sub-phrases of one word fewer."""
-    def of_length(k: int):
-        # One argument only: a second one would be taken for the element's index.
-        return lambda i: F.struct(
-            F.lit(k).alias("k"), joined(words, i, k).alias("phrase"),
-            joined(words, i, k - 1).alias("prefix"), joined(words, i + 1, k - 1).alias("suffix"),
-        )
 
-    found = []
-    for k in range(SHORTEST, LONGEST + 1):
-        starts = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
-        found.append(F.transform(starts, of_length(k)))
-    return F.flatten(F.array(*found))
+@dataclass(frozen=True)
+class Words:
+    """The words of some texts in order: code of each, its piece (rising over the texts), its language and its key."""
+
+    codes: np.ndarray
+    distinct: pa.Array
+    piece: np.ndarray
+    langs: pa.Array
+    lang: np.ndarray
+    keys: np.ndarray
+
+
+def words_of(texts: pa.Array, langs: pa.Array) -> Words:
+    data, ends = text_bytes(texts)
+    kind = KINDS[data]
+    inside = kind == 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    firsts = ends[:-1][ends[:-1] < ends[1:]]
+    begins[firsts] = inside[firsts]
+    at, kept = np.flatnonzero(begins), LOWER[data[inside]]
+    offsets = np.append(np.flatnonzero(begins[inside]), len(kept)).astype(np.int32)
+    strings = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(kept))
+    coded, named = strings.dictionary_encode(), langs.dictionary_encode()
+    text = np.searchsorted(ends[1:], at, side="right")
+    breaks = np.flatnonzero(kind == 2)
+    piece = np.searchsorted(breaks, at) + text
+    codes, lang = coded.indices.to_numpy(), named.indices.to_numpy()[text]
+    hashed, seeds = (
+        np.fromiter(map(xxhash.xxh3_64_intdigest, column.to_pylist()), np.uint64, len(column))
+        for column in (coded.dictionary, named.dictionary)
+    )
+    keys = mixed(hashed[codes] + seeds[lang] * _ODD[3])
+    return Words(codes, coded.dictionary, piece, named.dictionary, lang, (keys & ~np.uint64(3)) | np.uint64(1))
+
+
+def sources(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        F.coalesce(F.col("`lang`"), F.lit("und")).alias("lang"), F.coalesce(F.col("`text`"), F.lit("")).alias("text")
+    )
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(lang, phrase, key, f): every word."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch, "text", SLICE_BYTES):
+                found = words_of(texts, part.column("lang"))
+                pairs = found.codes.astype(np.int64) * len(found.langs) + found.lang
+                pairs, first, times = np.unique(pairs, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        found.langs.take(pa.array(found.lang[first])), found.distinct.take(pa.array(found.codes[first])),
+                        pa.array(found.keys[first].view(np.int64)), pa.array(times.astype(np.int64)),
+                    ],
+                    names=["lang", "phrase", "key", "c"],
+                )
+
+    counted = sources(docs).mapInArrow(count, "lang string, phrase string, key long, c long")
+    return counted.groupBy("lang", "phrase", "key").agg(F.sum("c").alias("f"))
 
 
-def counted(df: DataFrame) -> DataFrame:
-    return df.groupBy("lang", "k", "phrase").agg(F.count(F.lit(1)).alias("f"))
+def bitmap(keys: Staged) -> Broadcast:
+    """A set of keys as a bitmap of bounded size, for the tasks: it holds all of them, and some others as well."""
+    bits = 1 << min(max(FILTER_BITS * keys.rows, 1 << 16).bit_length(), LARGEST_FILTER)
+    spot = F.col("key").bitwiseAND(F.lit(bits - 1))
+    marked = keys.df.groupBy(F.shiftright(spot, 6).alias("at")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))).alias("marks")
+    ).toArrow()
+    found = np.zeros(bits >> 6, np.uint64)
+    found[marked.column("at").to_numpy()] = marked.column("marks").to_numpy().view(np.uint64)
+    return keys.df.sparkSession.sparkContext.broadcast(found)
 
 
-def count_pass(occurrences: DataFrame, allowed, fresh=None) -> DataFrame:
-    """Exact counts of the phrases whose prefix and suffix are both allowed (and, in later passes, one is fresh)."""
-    keep = allowed.for_broadcast()
-    sub = keep.select("lang", F.col("phrase").alias("_sub"))
-    rows = occurrences.join(sub.withColumnRenamed("_sub", "prefix"), ["lang", "prefix"], "left_semi")
-    rows = rows.join(sub.withColumnRenamed("_sub", "suffix"), ["lang", "suffix"], "left_semi")
-    if fresh is not None:
-        new = fresh.for_broadcast().select("lang", F.col("phrase").alias("_new"))
-        by_prefix = new.withColumnRenamed("_new", "prefix")
-        by_suffix = new.withColumnRenamed("_new", "suffix")
-        rows = rows.join(by_prefix, ["lang", "prefix"], "left_semi").unionByName(
-            rows.join(by_prefix, ["lang", "prefix"], "left_anti").join(by_suffix, ["lang", "suffix"], "left_semi")
-        )
-    return counted(rows)
+def member(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    spot = keys & np.uint64((len(marks) << 6) - 1)
+    return (marks[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def gram_counts(docs: DataFrame, allowed: Broadcast, longest: int, least: int, fresh: Broadcast | None = None, closed: bool = False) -> DataFrame:
+    """(k, p, s, key, f): phrases of 2 to ``longest`` words with ``f >= least``, by the keys of prefix, suffix and whole.
+
+    Both sub-phrases must be in ``allowed`` and, with ``fresh``, one of them in
+    that too.  With ``closed`` only words are looked up in ``allowed``, and a
+    longer phrase stands when its sub-phrases do.  The filters let some other
+    phrases through as well; these are counted whole too.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, new = allowed.value, fresh.value if fresh else None
+        for batch in batches:
+            for part, texts in slices(batch, "text", SLICE_BYTES):
+                found = words_of(texts, part.column("lang"))
+                keys, piece = found.keys, found.piece
+                stands = member(keys, known)
+                for k in range(SHORTEST, longest + 1):
+                    whole = phrase_keys(keys[:-1], keys[1:])
+                    hit = (piece[k - 1 :] == piece[: len(whole)]) & stands[:-1] & stands[1:]
+                    chosen = np.flatnonzero(hit)
+                    if new is not None:
+                        chosen = chosen[member(keys[chosen], new) | member(keys[chosen + 1], new)]
+                    order = chosen[np.argsort(whole[chosen])]
+                    first = np.flatnonzero(np.concatenate([[True], np.diff(whole[order]) != 0])) if len(order) else order
+                    times, one = np.diff(np.append(first, len(order))), order[first]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[one].view(np.int64)), pa.array(keys[one + 1].view(np.int64)), pa.array(times)],
+                        names=["p", "s", "c"],
+                    )
+                    if closed:
+                        stands = hit
+                    else:
+                        stands, at = np.zeros(len(hit), bool), np.flatnonzero(hit)
+                        stands[at] = member(whole[at], known)
+                    keys = whole
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, s = (batch.column(c).to_numpy().view(np.uint64) for c in ("p", "s"))
+            k = (p & np.uint64(3)).astype(np.int32) + 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(k), batch.column("p"), batch.column("s"), pa.array(phrase_keys(p, s).view(np.int64)), batch.column("f")],
+                names=["k", "p", "s", "key", "f"],
+            )
+
+    counted = sources(docs).mapInArrow(count, "p long, s long, c long").groupBy("p", "s").agg(F.sum("c").alias("f"))
+    return counted.where(F.col("f") >= least).mapInArrow(named, "k int, p long, s long, key long, f long")
+
+
+def spelled(singles: DataFrame, grams: DataFrame) -> DataFrame:
+    """(lang, k, phrase, f): the frequent phrases in words; a phrase is its prefix and the last word of its suffix."""
+    known = singles.select("key", "lang", "phrase", F.col("phrase").alias("last"), "f")
+    union = singles.select("lang", F.lit(1).alias("k"), "phrase", "f")
+    for k in range(SHORTEST, LONGEST + 1):
+        prefix = known.select(F.col("key").alias("p"), "lang", F.col("phrase").alias("head"))
+        suffix = known.select(F.col("key").alias("s"), "last")
+        named = grams.where(F.col("k") == k).join(prefix, "p").join(suffix, "s")
+        known = stage(named.select("key", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "f"), f"phrases-of-{k}").df
+        union = union.unionByName(known.select("lang", F.lit(k).alias("k"), "phrase", "f"))
+    return union
 
 
 def frequent_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
     """All phrases of 1 to 4 words with ``f >= MIN_COUNT`` (lang, k, phrase, f), word totals (lang, n), and pass figures."""
-    split = stage(pieces(docs), "phrases-pieces").df
-    totals = stage(split.groupBy("lang").agg(F.sum(F.size("words")).cast("long").alias("n")), "phrases-totals").df
-    singles = counted(split.select("lang", F.lit(1).alias("k"), F.explode("words").alias("phrase")))
-    singles = stage(singles.where(F.col("f") >= MIN_COUNT), "phrases-words")
-    occurrences = split.select("lang", "sampled", F.explode(grams(F.col("words"))).alias("g")).select("lang", "sampled", "g.*")
+    words = stage(word_counts(docs), "phrases-words").df
+    totals = stage(words.groupBy("lang").agg(F.sum("f").alias("n")), "phrases-totals").df
+    singles = words.where(F.col("f") >= MIN_COUNT)
+    keys = stage(singles.select("key").distinct(), "phrases-word-keys")
 
     least = max(1, int(LOWERED * MIN_COUNT * SAMPLE))
-    proposed = stage(
-        counted(occurrences.where("sampled").where(F.col("k") < LONGEST)).where(F.col("f") >= least).select("lang", "k", "phrase"),
-        "phrases-proposed",
-    )
-    allowed = stage(singles.df.select("lang", "k", "phrase").unionByName(proposed.df), "phrases-allowed")
-    found = stage(count_pass(occurrences, allowed), "phrases-counts")
-    frequent = [found]
-    figures = {"proposed": proposed.rows, "counted": found.rows, "passes": 1, "failures": 0}
+    drawn = F.pmod(F.xxhash64(F.lit(SEED), F.coalesce(F.col("`text`"), F.lit(""))), F.lit(1_000_000)) < int(SAMPLE * 1_000_000)
+    sampled = gram_counts(docs.where(drawn), bitmap(keys), LONGEST - 1, least, closed=True)
+    proposed = stage(sampled.select("key").distinct(), "phrases-proposed")
+    allowed = stage(keys.df.unionByName(proposed.df).distinct(), "phrases-allowed")
+    figures = {"proposed": proposed.rows, "passes": 0, "failures": 0}
+    found, fresh = None, None
     while True:
-        hits = frequent[-1].df.where(F.col("f") >= MIN_COUNT).where(F.col("k") < LONGEST).select("lang", "k", "phrase")
-        failures = stage(hits.join(allowed.df, ["lang", "k", "phrase"], "left_anti"), "phrases-failures")
-        if not failures.rows:
-            break
-        figures["failures"] += failures.rows
-        allowed = stage(allowed.df.unionByName(failures.df), "phrases-allowed")
-        more = stage(count_pass(occurrences, allowed, failures), "phrases-counts")
-        frequent.append(more)
+        marks = bitmap(allowed)
+        late = bitmap(fresh) if fresh else None
+        more = stage(gram_counts(docs, marks, LONGEST, MIN_COUNT, late), "phrases-counts").df
+        # What a filter let through may be counted in two passes, alike in both.
+        found = more if found is None else found.unionByName(more).dropDuplicates(["p", "s"])
         figures["passes"] += 1
-    union = singles.df
-    for part in frequent:
-        union = union.unionByName(part.df.where(F.col("f") >= MIN_COUNT))
-    return stage(union, "phrases-frequent").df, totals, figures
+        for used in (marks, late):
+            if used:
+                used.destroy()
+        hits = more.where(F.col("k") < LONGEST).select("key").distinct()
+        fresh = stage(hits.join(allowed.df, "key", "left_anti"), "phrases-failures")
+        if not fresh.rows:
+            break
+        figures["failures"] += fresh.rows
+        allowed = stage(allowed.df.unionByName(fresh.df), "phrases-allowed")
+    return stage(spelled(singles, found), "phrases-frequent").df, totals, figures
 
 
 def scored(frequent: DataFrame, totals: DataFrame) -> DataFrame:
