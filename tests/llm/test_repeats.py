@@ -1,5 +1,6 @@
 import collections
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -96,3 +97,22 @@ def test_equal_windows_have_equal_anchors():
             found[data[start + i : start + i + 200].tobytes()].add(int(anchor))
     assert all(len(v) == 1 for v in found.values())
     assert total == sum(max(0, len(t) - 199) for t in texts)
+
+
+def test_suffixes_of_near_copies_are_sorted_in_bounded_memory():
+    # 700 strings of 368 bytes that share all but their last byte: nearly every suffix takes part.
+    rnd = np.random.default_rng(2)
+    base = rnd.integers(97, 123, 367, dtype=np.uint8)
+    strings = [np.append(base, np.uint8(97 + i % 26)) for i in range(700)]
+    data, bounds = np.concatenate(strings), np.arange(701) * 368
+    remaining = np.repeat(bounds[1:], 368) - np.arange(len(data))
+    tracemalloc.start()
+    order = repeats.suffix_array(data, remaining, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(order) == 700 * 169
+    assert peak < 100 << 20
+    whole = [bytes(data[at : at + left]) for at, left in zip(order.tolist(), remaining[order].tolist(), strict=True)]
+    grouped = [text[:200] for text in whole]
+    assert len(set(grouped)) == 1 + sum(a != b for a, b in zip(grouped, grouped[1:], strict=False))
+    assert all(a <= b for a, b in zip(whole, whole[1:], strict=False) if a[:200] == b[:200])

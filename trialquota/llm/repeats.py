@@ -34,8 +34,9 @@ from trialquota.llm.wordcodes import slices
 LENGTH = 200
 GRAM_STEPS = 5  # k-grams of 2 ** 5 bytes
 GROUP = 2000
-BATCH_BYTES = 2 << 20
-SLICE_BYTES = 4 << 20
+BATCH_BYTES = 512 << 10
+SLICE_BYTES = 2 << 20
+ROWS = 4096
 PLACE_BITS = 28
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -155,8 +156,11 @@ def suffix_array(data: np.ndarray, remaining: np.ndarray, length: int) -> np.nda
     rows = np.zeros((len(starts), 8 + reach), np.uint8)
     rows[:, :8] = hashed.astype(">u8").view(np.uint8).reshape(-1, 8)
     column = np.arange(reach)
-    at = np.minimum(starts[:, None] + length + column, len(data) - 1)
-    rows[:, 8:] = np.where(column < (remaining[starts] - length)[:, None], data[at] + np.uint8(1), 0)
+    # Places are eight bytes for each byte of the rows: some rows at a time.
+    for low in range(0, len(starts), ROWS):
+        some = starts[low : low + ROWS]
+        at = np.minimum(some[:, None] + length + column, len(data) - 1)
+        rows[low : low + ROWS, 8:] = np.where(column < (remaining[some] - length)[:, None], data[at] + np.uint8(1), 0)
     return starts[np.argsort(rows.view(f"S{8 + reach}").ravel(), kind="stable")]
 
 
