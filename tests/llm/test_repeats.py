@@ -116,3 +116,20 @@ def test_suffixes_of_near_copies_are_sorted_in_bounded_memory():
     grouped = [text[:200] for text in whole]
     assert len(set(grouped)) == 1 + sum(a != b for a, b in zip(grouped, grouped[1:], strict=False))
     assert all(a <= b for a, b in zip(whole, whole[1:], strict=False) if a[:200] == b[:200])
+
+
+def test_crowded_anchors_are_split_in_fewer_rows_than_windows(spark, monkeypatch):
+    rnd = random.Random(9)
+    made = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    passage = made(400)
+    texts = [made(rnd.randint(150, 250)) + passage[rnd.choice([0, 0, 3]) : rnd.choice([400, 400, 380])] + made(rnd.randint(150, 250)) for _ in range(150)]
+    rows = [(i, t, None, None, 0, None, None, None) for i, t in enumerate(texts)]
+    found, staged = [], repeats.stage
+    monkeypatch.setattr(repeats, "GROUP", 20)
+    monkeypatch.setattr(repeats, "stage", lambda df, label: found.append((label, staged(df, label))) or found[-1][1])
+    assert by_id(repeats.remove_repeats(documents(spark, rows)).collect()) == by_id(expected(rows))
+    crowded = next(x for label, x in found if label == "contents").df.where("classes > 20")
+    windows = sum(len(r.content) - 199 for r in crowded.collect())
+    runs = [x.rows for label, x in found if label == "runs"]
+    assert len(runs) > 1 and windows > 10_000
+    assert sum(runs) < windows / 8

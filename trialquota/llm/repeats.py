@@ -10,7 +10,8 @@ Classes of one anchor hash are put into an enhanced suffix array.  A scan with a
 stack gives its common-prefix intervals; those whose occurrences are preceded by
 different bytes (or begin a segment) are the maximal repeats, and every
 occurrence is reported.  An anchor hash with more than ``GROUP`` classes is not
-gathered: its windows are counted one by one in a distributed aggregation.
+gathered: its windows are split into runs, which are grouped by the bytes that
+all their windows hold, until a group has no more than ``GROUP`` classes.
 
 Defined cases: a null text counts as empty; texts shorter than ``length`` lose
 nothing; matches never cross documents; repeated rows are repeats of each
@@ -20,7 +21,9 @@ other; null ids are kept; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -279,23 +282,82 @@ def interval_covers(contents: DataFrame, length: int) -> DataFrame:
     return contents.repartition("m").sortWithinPartitions("m", "d").mapInArrow(scan, COVER)
 
 
-def window_covers(contents: DataFrame, length: int) -> DataFrame:
-    """COVER rows for anchor hashes of very many classes: windows that two classes share."""
+def anchor_places(contents: list[bytes], length: int) -> list[int]:
+    """Place of the anchor in each class: that of its first window, and so of all its windows."""
+    joined = b"".join(content[:length] for content in contents) + bytes((1 << GRAM_STEPS) - 1)
+    grams = gram_hashes(np.frombuffer(joined, np.uint8)).reshape(len(contents), length)[:, : length - (1 << GRAM_STEPS) + 1]
+    return np.argmin(grams & ~np.uint64((1 << PLACE_BITS) - 1), axis=1).tolist()
+
+
+RANGE = "g long, e long, m long, d long, off int, content binary"
+
+
+def range_classes(contents: DataFrame, length: int, width: int) -> DataFrame:
+    """RANGE rows: the windows of each class in runs of at most ``width``.
+
+    A window is numbered by its bytes before the anchor, and a run holds the
+    numbers of one multiple of ``width``.  ``g`` hashes the bytes that all windows
+    of the run share, so equal windows have equal ``g``; ``e`` stands for the
+    bytes of the run, which begin at ``off`` in the class.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            for m, d, content in zip(*(batch.column(c).to_pylist() for c in ("m", "d", "content")), strict=True):
-                n = len(content) - length + 1
-                hashed = np.array([digest(content[i : i + length]) for i in range(n)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, m)), pa.array(np.full(n, d)), pa.array(np.arange(n, dtype=np.int32)), pa.array(hashed)],
-                    names=["m", "d", "off", "w"],
-                )
+            m, d, base, contents = (batch.column(c).to_pylist() for c in ("m", "d", "off", "content"))
+            out: list[list] = [[], [], [], [], [], []]
+            for row, (content, at) in enumerate(zip(contents, anchor_places(contents, length), strict=True)):
+                least = at - (len(content) - length)
+                for number in range(least // width, at // width + 1):
+                    low, high = number * width, number * width + width - 1
+                    first, last = at - min(at, high), at - max(least, low)
+                    run = content[first : last + length]
+                    seed = digest(f"{m[row]} {number}")
+                    shared = digest(content[at - low : at - high + length], seed)
+                    own = digest(run, digest(f"{shared} {at - first}"))
+                    for column, value in zip(out, (shared, own, m[row], d[row], base[row] + first, run), strict=True):
+                        column.append(value)
+            hashes = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in out[:2]]
+            yield pa.RecordBatch.from_arrays(
+                [*hashes, pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.binary())],
+                names=["g", "e", "m", "d", "off", "content"],
+            )
+
+    return contents.select("m", "d", "off", "content").mapInArrow(cut, RANGE)
 
-    windows = contents.mapInArrow(cut, "m long, d long, off int, w long")
-    shared = windows.groupBy("m", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m", "w")
-    return windows.join(shared, ["m", "w"]).select("m", "d", "off", F.lit(length).alias("len"))
+
+def crowd_covers(contents: DataFrame, length: int) -> DataFrame:
+    """COVER rows for anchor hashes of very many classes.
+
+    Their windows are split into shorter and shorter runs.  Equal runs are one
+    class and repeats from end to end; runs that share no bytes all their windows
+    hold are done.  Groups of up to ``GROUP`` classes are compared by suffix
+    arrays, and only the classes of larger ones are split again, down to single
+    windows: a class is split where its repeats begin and end, not window by window.
+    """
+    covers, width = [], 4 ** max(0, math.ceil(math.log(length - (1 << GRAM_STEPS) + 1, 4)) - 1)
+    contents = contents.select("m", "d", F.lit(0).alias("off"), "content")
+    while True:
+        runs = stage(range_classes(contents, length, width), "runs").df
+        classes = stage(
+            runs.groupBy("g", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("m", "d", "off")).alias("p"), F.first("content").alias("content"))
+            .select("g", "e", "n", "p.*", "content"),
+            "run-classes",
+        ).df
+        groups = classes.groupBy("g").agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("least"))
+        mixed = classes.join(stage(groups.where("classes > 1 AND least = 1").drop("least"), "run-groups").for_broadcast(), "g")
+        equal = runs.join(classes.where("n > 1").select("g", "e"), ["g", "e"])
+        covers.append(equal.select("m", "d", "off", F.length("content").alias("len")))
+        small = mixed.where(f"classes <= {GROUP}")
+        part = interval_covers(small.select(F.col("g").alias("m"), F.col("e").alias("d"), "content"), length)
+        part = part.select(F.col("m").alias("g"), F.col("d").alias("e"), F.col("off").alias("inner"), "len")
+        # A run of several classes is covered from end to end already.
+        single = small.where("n = 1").select("g", "e", "m", "d", "off")
+        covers.append(part.join(single, ["g", "e"]).select("m", "d", (F.col("off") + F.col("inner")).alias("off"), "len"))
+        contents = stage(mixed.where(f"classes > {GROUP}").select("m", "d", "off", "content"), "crowded-runs")
+        if not contents.rows:
+            return reduce(DataFrame.unionByName, covers)
+        contents, width = contents.df, width // 4
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -323,9 +385,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     wanted = tagged.where("mixed").groupBy("doc_id", "k").agg(F.collect_list(F.struct("m", "d", "classes", "start", "windows")).alias("cuts"))
     contents = stage(class_contents(rows, wanted, length).dropDuplicates(["m", "d"]), "contents").df
     small, large = contents.where(f"classes <= {GROUP}"), contents.where(f"classes > {GROUP}")
-    part = interval_covers(small.select("m", "d", "content"), length).unionByName(
-        window_covers(large.select("m", "d", "content"), length)
-    )
+    part = interval_covers(small.select("m", "d", "content"), length)
+    if not large.isEmpty():
+        part = part.unionByName(crowd_covers(large, length))
     # A class that occurs twice is a repeat from end to end.
     whole = tagged.where("n > 1").select("m", "d", F.lit(0).alias("off"), (F.col("windows") + length - 1).alias("len"))
     covers = whole.unionByName(part).groupBy("m", "d").agg(F.collect_list(F.struct("off", "len")).alias("covers"))
