@@ -89,3 +89,27 @@ def test_awkward_rows_and_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = linededup.line_dedup(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("counters", [{8: 63, 16: 16383}, {8: 2, 16: 70}])
+def test_fingerprints_of_short_and_long_lines(spark, counters, monkeypatch):
+    monkeypatch.setattr(linededup, "COUNTERS", counters)
+    rnd = random.Random(3)
+    made = [sentence(rnd, n) for n in (2, 6, 7, 8, 14, 61, 62, 63, 64, 65, 127, 128, 400)] + ["a b c d e f g", "aaaa " * 63 + "x", "bbbb " * 300]
+    # Words whose hashes have the top bit, and words without it.
+    top = [w for w in (f"w{i}" for i in range(400)) if xxhash.xxh64(w.encode(), seed=42).intdigest() >> 63]
+    made += [" ".join(top[:63]), " ".join(top[:150]), " ".join(top[:1] * 63)]
+    rows = [(i, line + "\n\t " + line + "\r", None, None, 0, None, None, None) for i, line in enumerate(made)] * 2
+    lines = linededup.document_lines(documents(spark, rows), "doc_id", "text", 12)
+    names = {r.h1: r.norm for r in lines.select("h1", "norm").distinct().collect()}
+    found = {names[r.h1]: (r.fp & (1 << 64) - 1, r.n) for r in linededup.line_classes(lines).df.collect()}
+    assert found == {n: (fingerprint(n), 4) for n in {m.lower().strip(" \t\r") for m in made}}
+
+
+def test_lines_are_normalised_once_and_texts_split_once(spark):
+    rows = [(i, "one line of some length\nanother line of some length", None, None, 0, None, None, None) for i in range(2)]
+    found = linededup.line_dedup(documents(spark, rows))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert {"norm", "h1", "h2"} <= set(linededup.document_lines(documents(spark, rows), "doc_id", "text", 12).columns)
+    assert sorted((r.doc_id, r.n_lines, r.n_removed) for r in found.collect()) == [(0, 2, 0), (1, 2, 2)]

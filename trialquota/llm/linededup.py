@@ -27,9 +27,10 @@ empty; other columns pass through.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trialquota.llm.common import Staged, bit_sums, components, hamming, majority_bits, packed, stage, text_key
 
@@ -39,39 +40,87 @@ SIMILARITY = 0.8
 CROWD = 64
 CUTS = (0, 13, 26, 39, 52, 64)
 KEYS = ["_k1", "_k2"]
+RUN = 7  # words that counters of four bits hold without touching the sign of a long
+COUNTERS = {8: 63, 16: 16383}  # bits of a counter, and the most words it is used for: 2 ** (bits - 2) - 1 at most
 
 
 def raw_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def normalised(line: Column) -> Column:
+    """The line trimmed and folded; trimming costs much, so only lines with something to trim pay for it."""
+    trims = [test(F.lit(c)) for c in " \t\r" for test in (line.startswith, line.endswith)]
+    return F.lower(F.when(reduce(Column.__or__, trims), F.btrim(line, F.lit(" \t\r"))).otherwise(line))
+
+
 def document_lines(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
-    """(doc_id, _k1, _k2, pos, norm, h1, h2): lines long enough; h1 and h2 stand for norm."""
-    lines = docs.select(
-        F.col(doc_id).alias("doc_id"), *text_key(F.col(text)), F.posexplode(raw_lines(F.col(text))).alias("pos", "line")
-    )
-    norm = lines.select("doc_id", *KEYS, "pos", F.lower(F.btrim("line", F.lit(" \t\r"))).alias("norm"))
-    norm = norm.where(F.char_length("norm") >= min_chars)
-    return norm.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(7), F.col("norm"))})
+    """(doc_id, _k1, _k2, pos, norm, h1, h2, parts, line): lines long enough, each with a number; h1 and h2 stand for norm.
+
+    Written once: splitting and folding cost more than reading the lines back, and
+    what is computed for a line is not computed again for each of its words.
+    """
+    folded = F.transform(raw_lines(F.col(text)), normalised)
+    lines = docs.select(F.col(doc_id).alias("doc_id"), *text_key(F.col(text)), F.posexplode(folded).alias("pos", "norm"))
+    lines = lines.where(F.char_length("norm") >= min_chars)
+    parts = F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    hashed = {"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(7), F.col("norm"))}
+    return stage(lines.withColumns(hashed | {"parts": parts, "line": F.monotonically_increasing_id()}), "lines").df
 
 
 def word_characters(norm: Column) -> Column:
     """One character for each word of a line."""
 
-    def character(word: Column) -> Column:
-        return F.decode(F.unhex(F.hex(F.pmod(F.xxhash64(word), F.lit(20_000)) + 0x4E00)), "UTF-16BE")
+    def digits(word: Column) -> Column:
+        return F.hex(F.pmod(F.xxhash64(word), F.lit(20_000)) + 0x4E00)
 
-    return F.array_join(F.transform(F.split(norm, " ", -1), character), "")
+    return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " ", -1), digits), "")), "UTF-16BE")
 
 
-def line_classes(lines: DataFrame) -> Staged:
-    """(h1, h2, fp, n): fingerprint and occurrences of each distinct line."""
+def long_prints(lines: DataFrame) -> DataFrame:
+    """(h1, h2, fp, n): fingerprint and occurrences of each distinct line, each bit counted word by word."""
     words = lines.select("h1", "h2", F.posexplode(F.split("norm", " ", -1)).alias("_i", "word"))
     hashed = words.select("h1", "h2", (F.col("_i") == 0).cast("int").alias("begins"), F.when(F.char_length("word") > 1, F.xxhash64("word")).alias("h"))
     # Occurrences of a line add alike to the bits and to their number, so the majority holds.
     summed = hashed.groupBy("h1", "h2").agg(F.count("h").alias("m"), F.sum("begins").alias("n"), *bit_sums(F.col("h")))
     fp = F.when(F.col("m") > 0, majority_bits(F.col("m"))).otherwise(F.col("h1")).alias("fp")
-    return stage(summed.select("h1", "h2", fp, "n"), "line-classes")
+    return summed.select("h1", "h2", fp, "n")
+
+
+def counted_prints(lines: DataFrame, width: int) -> DataFrame:
+    """(h1, h2, fp, n) of each occurrence of a line of few enough words for counters of ``width`` bits.
+
+    ``RUN`` words are added in four longs of sixteen counters each, and the runs of
+    a line in ``width`` longs.  No branch for each bit: the JVM leaves so long a method uncompiled.
+    """
+    words = F.filter(F.split("norm", " ", -1), lambda w: F.char_length(w) > 1)
+    hashed = lines.select("line", "h1", "h2", F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
+    # A line without words has one empty run.
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(RUN))
+    runs = hashed.select("line", "h1", "h2", F.size("words").alias("m"), "words", F.explode(starts).alias("_i"))
+    names = [f"_w{j}" for j in range(RUN)]
+    each = runs.select("line", "h1", "h2", "m", *[F.coalesce(F.get("words", F.col("_i") + j), F.lit(0).cast("long")).alias(n) for j, n in enumerate(names)])
+    fours, ones = F.lit(0x1111111111111111), sum(1 << at for at in range(0, 64, width))
+    quarters = [reduce(Column.__add__, [F.shiftrightunsigned(n, i).bitwiseAND(fours) for n in names]).alias(f"_r{i}") for i in range(4)]
+    counted = each.select("line", "h1", "h2", "m", *quarters)
+    # The i-th sum counts the bits i, i + width and so on.
+    sums = [F.sum(F.shiftrightunsigned(f"_r{i % 4}", i // 4 * 4).bitwiseAND(F.lit(15 * ones))) for i in range(width)]
+    summed = counted.groupBy("line", "h1", "h2", "m").agg(*[F.coalesce(x, F.lit(0)).alias(f"_s{i}") for i, x in enumerate(sums)])
+    # Twice a count, less the words, plus the most of COUNTERS, has the bit below the top just where over half of them have it.
+    rest = (F.lit((1 << width - 2) - 1) - F.col("m")) * F.lit(ones)
+    bits = [F.shiftleft(F.shiftrightunsigned(F.col(f"_s{i}") * 2 + rest, width - 2).bitwiseAND(F.lit(ones)), i) for i in range(width)]
+    fp = F.when(F.col("m") > 0, reduce(Column.bitwiseOR, bits)).otherwise(F.col("h1")).alias("fp")
+    return summed.select("h1", "h2", fp, F.lit(1).cast("long").alias("n"))
+
+
+def line_classes(lines: DataFrame) -> Staged:
+    """(h1, h2, fp, n): fingerprint and occurrences of each distinct line."""
+    prints, above = [], 0
+    for width, most in COUNTERS.items():
+        prints.append(counted_prints(lines.where(f"parts > {above} AND parts <= {most}"), width))
+        above = most
+    prints = reduce(DataFrame.unionByName, [*prints, long_prints(lines.where(f"parts > {above}"))])
+    return stage(prints.groupBy("h1", "h2").agg(F.min("fp").alias("fp"), F.sum("n").alias("n")), "line-classes")
 
 
 def block_keys(fp: Column) -> Column:
@@ -90,9 +139,10 @@ def block_keys(fp: Column) -> Column:
 def crowded_blocks(classes: Staged) -> Staged:
     """(key, fp, least, n): fingerprints that share a pair of blocks with others, n in all."""
     filed = classes.df.select("fp").distinct().select("fp", F.explode(block_keys(F.col("fp"))).alias("key"))
-    filed = filed.repartition("key")
-    least = filed.groupBy("key").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return stage(filed.join(least, "key"), "crowded-blocks")
+    # Nearly every key is its own group: sorting once costs less than counting the groups and joining.
+    own = Window.partitionBy("key")
+    met = filed.withColumns({"least": F.min("fp").over(own), "n": F.count(F.lit(1)).over(own)})
+    return stage(met.where("n > 1"), "crowded-blocks")
 
 
 def close(a: str, b: str) -> Column:
@@ -130,7 +180,7 @@ def line_groups(docs_lines: DataFrame, classes: Staged) -> DataFrame:
     wanted = stage(placed.df.select(F.col("line").alias("h1")), "wanted-lines")
     texts = stage(
         docs_lines.select("h1", "norm").join(wanted.for_broadcast(), "h1", "left_semi")
-        .select("h1", word_characters(F.col("norm")).alias("words")).dropDuplicates(["h1"]),
+        .dropDuplicates(["h1"]).select("h1", word_characters(F.col("norm")).alias("words")),
         "line-words",
     ).df
 
@@ -215,11 +265,15 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     keyed = packed(docs).withColumns({"_id": F.col(f"row.{doc_id}"), "_t1": k1, "_t2": k2})
     match = keyed["_id"].eqNullSafe(drops["_d"]) & (keyed["_t1"] == drops["_k1"]) & (keyed["_t2"] == drops["_k2"])
     joined = keyed.join(drops, match, "left")
-    lines, gone = raw_lines(own), F.col("drops")
-    shorter = F.when(gone.isNull(), own).otherwise(F.array_join(without(lines, gone), "\n"))
+    gone = F.col("drops")
+    # A column of its own: inside the lambda the text would be split again for each run of lines.
+    joined = joined.withColumn("_lines", F.when(gone.isNotNull(), raw_lines(own)))
+    full = F.coalesce(own, F.lit(""))
+    n_lines = F.octet_length(full) - F.octet_length(F.replace(full, F.lit("\n"), F.lit(""))) + 1
+    shorter = F.when(gone.isNull(), own).otherwise(F.array_join(without(F.col("_lines"), gone), "\n"))
     removed = F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long")
     kept = [shorter.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return joined.select(*kept, F.size(lines).cast("long").alias("_n_lines"), removed.alias("_n_removed"))
+    return joined.select(*kept, n_lines.cast("long").alias("_n_lines"), removed.alias("_n_removed"))
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
