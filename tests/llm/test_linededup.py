@@ -4,7 +4,7 @@ import pytest
 import xxhash
 from helpers import Groups, awkward_documents, by_id, documents, sentence
 
-from trialquota.llm import linededup
+from trialquota.llm import common, linededup
 
 
 def fingerprint(norm):
@@ -113,3 +113,28 @@ def test_lines_are_normalised_once_and_texts_split_once(spark):
     assert plan.count("split(") == 1
     assert {"norm", "h1", "h2"} <= set(linededup.document_lines(documents(spark, rows), "doc_id", "text", 12).columns)
     assert sorted((r.doc_id, r.n_lines, r.n_removed) for r in found.collect()) == [(0, 2, 0), (1, 2, 2)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_hashed_once_and_words_without_lambdas(spark):
+    lines = linededup.document_lines(documents(spark), "doc_id", "text", 12)
+    plan = plan_of(lines)
+    assert 0 <= plan.find("Generate posexplode") < plan.find("AS _k1")
+    assert "lambda" not in plan_of(linededup.counted_prints(lines.select("line", "h1", "h2", "norm"), 16).select("fp")).split("Generate posexplode")[0]
+
+
+def test_only_pairs_alike_in_length_are_compared_and_written_tables_go(spark, monkeypatch):
+    seen, verified = [], linededup.verified
+    monkeypatch.setattr(linededup, "verified", lambda pairs, texts: (seen.append(pairs.count()), verified(pairs, texts))[1])
+    # Same fingerprint, but ten words against forty; the third is alike to the first.
+    lines = ["same " * 9 + "same", "same " * 39 + "same", "same " * 10 + "same"]
+    rows = [(i, line, None, None, 0, None, None, None) for i, line in enumerate(lines)]
+    before = set(common._made)
+    found = linededup.line_dedup(documents(spark, rows))
+    assert sorted((r.doc_id, r.n_removed) for r in found.collect()) == [(0, 0), (1, 0), (2, 1)]
+    assert sum(seen) == 1
+    left = {path.rsplit("/", 1)[1].rsplit("-", 1)[0] for path in set(common._made) - before}
+    assert "line-drops" in left and not left & {"lines", "line-classes", "line-texts", "crowded-blocks", "fingerprints"}

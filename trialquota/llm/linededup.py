@@ -54,18 +54,19 @@ def normalised(line: Column) -> Column:
     return F.lower(F.when(reduce(Column.__or__, trims), F.btrim(line, F.lit(" \t\r"))).otherwise(line))
 
 
-def document_lines(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
-    """(doc_id, _k1, _k2, pos, norm, h1, h2, parts, line): lines long enough, each with a number; h1 and h2 stand for norm.
+def keyed_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, _k1, _k2, pos, norm) of every line."""
+    # The keys in a step of their own: beside the generator each text would be hashed again for each of its lines.
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), *text_key(F.col(text)), F.col(text).alias("_text"))
+    folded = F.transform(raw_lines(F.col("_text")), normalised)
+    return keyed.select("doc_id", *KEYS, F.posexplode(folded).alias("pos", "norm"))
 
-    Written once: splitting and folding cost more than reading the lines back, and
-    what is computed for a line is not computed again for each of its words.
-    """
-    folded = F.transform(raw_lines(F.col(text)), normalised)
-    lines = docs.select(F.col(doc_id).alias("doc_id"), *text_key(F.col(text)), F.posexplode(folded).alias("pos", "norm"))
-    lines = lines.where(F.char_length("norm") >= min_chars)
-    parts = F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+
+def document_lines(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
+    """(doc_id, _k1, _k2, pos, norm, h1, h2, bytes, line): lines long enough, each with a number; h1 and h2 stand for norm."""
+    lines = keyed_lines(docs, doc_id, text).where(F.char_length("norm") >= min_chars)
     hashed = {"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(7), F.col("norm"))}
-    return stage(lines.withColumns(hashed | {"parts": parts, "line": F.monotonically_increasing_id()}), "lines").df
+    return lines.withColumns(hashed | {"bytes": F.octet_length("norm"), "line": F.monotonically_increasing_id()})
 
 
 def word_characters(norm: Column) -> Column:
@@ -78,49 +79,56 @@ def word_characters(norm: Column) -> Column:
 
 
 def long_prints(lines: DataFrame) -> DataFrame:
-    """(h1, h2, fp, n): fingerprint and occurrences of each distinct line, each bit counted word by word."""
-    words = lines.select("h1", "h2", F.posexplode(F.split("norm", " ", -1)).alias("_i", "word"))
-    hashed = words.select("h1", "h2", (F.col("_i") == 0).cast("int").alias("begins"), F.when(F.char_length("word") > 1, F.xxhash64("word")).alias("h"))
+    """(h1, h2, fp, n, parts, at) of each distinct line, each bit counted word by word."""
+    words = lines.select("line", "h1", "h2", F.posexplode(F.split("norm", " ", -1)).alias("_i", "word"))
+    begins = (F.col("_i") == 0).cast("int").alias("begins")
+    hashed = words.select("line", "h1", "h2", "_i", begins, F.when(F.char_length("word") > 1, F.xxhash64("word")).alias("h"))
     # Occurrences of a line add alike to the bits and to their number, so the majority holds.
-    summed = hashed.groupBy("h1", "h2").agg(F.count("h").alias("m"), F.sum("begins").alias("n"), *bit_sums(F.col("h")))
+    of_line = [F.count("h").alias("m"), F.sum("begins").alias("n"), (F.max("_i") + 1).alias("parts"), F.min("line").alias("at")]
+    summed = hashed.groupBy("h1", "h2").agg(*of_line, *bit_sums(F.col("h")))
     fp = F.when(F.col("m") > 0, majority_bits(F.col("m"))).otherwise(F.col("h1")).alias("fp")
-    return summed.select("h1", "h2", fp, "n")
+    return summed.select("h1", "h2", fp, "n", "parts", "at")
 
 
 def counted_prints(lines: DataFrame, width: int) -> DataFrame:
-    """(h1, h2, fp, n) of each occurrence of a line of few enough words for counters of ``width`` bits.
+    """(h1, h2, fp, n, parts, at) of each occurrence of a line of few enough words for counters of ``width`` bits.
 
     ``RUN`` words are added in four longs of sixteen counters each, and the runs of
     a line in ``width`` longs.  No branch for each bit: the JVM leaves so long a method uncompiled.
+    Words are hashed as columns, not in lambdas, which Spark interprets word by word.
     """
-    words = F.filter(F.split("norm", " ", -1), lambda w: F.char_length(w) > 1)
-    hashed = lines.select("line", "h1", "h2", F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
-    # A line without words has one empty run.
+    words = lines.select("line", "h1", "h2", F.split("norm", " ", -1).alias("words"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(RUN))
-    runs = hashed.select("line", "h1", "h2", F.size("words").alias("m"), "words", F.explode(starts).alias("_i"))
-    names = [f"_w{j}" for j in range(RUN)]
-    each = runs.select("line", "h1", "h2", "m", *[F.coalesce(F.get("words", F.col("_i") + j), F.lit(0).cast("long")).alias(n) for j, n in enumerate(names)])
+    runs = words.select("line", "h1", "h2", F.size("words").alias("parts"), "words", F.explode(starts).alias("_i"))
+    keys, names = ["line", "h1", "h2", "parts"], [f"_w{j}" for j in range(RUN)]
+    each = runs.select(*keys, *[F.get("words", F.col("_i") + j).alias(n) for j, n in enumerate(names)])
+    counts = [F.char_length(n) > 1 for n in names]
+    m = reduce(Column.__add__, [F.when(c, 1).otherwise(0) for c in counts]).alias("m")
+    hashed = each.select(*keys, m, *[F.when(c, F.xxhash64(n)).otherwise(F.lit(0).cast("long")).alias(n) for c, n in zip(counts, names)])
     fours, ones = F.lit(0x1111111111111111), sum(1 << at for at in range(0, 64, width))
     quarters = [reduce(Column.__add__, [F.shiftrightunsigned(n, i).bitwiseAND(fours) for n in names]).alias(f"_r{i}") for i in range(4)]
-    counted = each.select("line", "h1", "h2", "m", *quarters)
+    counted = hashed.select(*keys, "m", *quarters)
     # The i-th sum counts the bits i, i + width and so on.
     sums = [F.sum(F.shiftrightunsigned(f"_r{i % 4}", i // 4 * 4).bitwiseAND(F.lit(15 * ones))) for i in range(width)]
-    summed = counted.groupBy("line", "h1", "h2", "m").agg(*[F.coalesce(x, F.lit(0)).alias(f"_s{i}") for i, x in enumerate(sums)])
+    summed = counted.groupBy(*keys).agg(F.sum("m").alias("m"), *[F.coalesce(x, F.lit(0)).alias(f"_s{i}") for i, x in enumerate(sums)])
     # Twice a count, less the words, plus the most of COUNTERS, has the bit below the top just where over half of them have it.
     rest = (F.lit((1 << width - 2) - 1) - F.col("m")) * F.lit(ones)
     bits = [F.shiftleft(F.shiftrightunsigned(F.col(f"_s{i}") * 2 + rest, width - 2).bitwiseAND(F.lit(ones)), i) for i in range(width)]
     fp = F.when(F.col("m") > 0, reduce(Column.bitwiseOR, bits)).otherwise(F.col("h1")).alias("fp")
-    return summed.select("h1", "h2", fp, F.lit(1).cast("long").alias("n"))
+    return summed.select("h1", "h2", fp, F.lit(1).cast("long").alias("n"), "parts", F.col("line").alias("at"))
 
 
 def line_classes(lines: DataFrame) -> Staged:
-    """(h1, h2, fp, n): fingerprint and occurrences of each distinct line."""
-    prints, above = [], 0
+    """(h1, h2, fp, n, parts, at): fingerprint, occurrences, parts between spaces and one line of each distinct line."""
+    prints, above = [], -1
     for width, most in COUNTERS.items():
-        prints.append(counted_prints(lines.where(f"parts > {above} AND parts <= {most}"), width))
-        above = most
-    prints = reduce(DataFrame.unionByName, [*prints, long_prints(lines.where(f"parts > {above}"))])
-    return stage(prints.groupBy("h1", "h2").agg(F.min("fp").alias("fp"), F.sum("n").alias("n")), "line-classes")
+        # Words of two bytes or more and the spaces between them: so many bytes hold at most ``most`` words.
+        fits = 3 * most - 1
+        prints.append(counted_prints(lines.where(f"bytes > {above} AND bytes <= {fits}"), width))
+        above = fits
+    prints = reduce(DataFrame.unionByName, [*prints, long_prints(lines.where(f"bytes > {above}"))])
+    once = [F.min("fp").alias("fp"), F.sum("n").alias("n"), F.min("parts").alias("parts"), F.min("at").alias("at")]
+    return stage(prints.groupBy("h1", "h2").agg(*once), "line-classes")
 
 
 def block_keys(fp: Column) -> Column:
@@ -136,9 +144,9 @@ def block_keys(fp: Column) -> Column:
     return F.array(*keys)
 
 
-def crowded_blocks(classes: Staged) -> Staged:
-    """(key, fp, least, n): fingerprints that share a pair of blocks with others, n in all."""
-    filed = classes.df.select("fp").distinct().select("fp", F.explode(block_keys(F.col("fp"))).alias("key"))
+def crowded_blocks(prints: DataFrame) -> Staged:
+    """(key, fp, least, n): of distinct fingerprints those that share a pair of blocks with others, n in all."""
+    filed = prints.select("fp", F.explode(block_keys(F.col("fp"))).alias("key"))
     # Nearly every key is its own group: sorting once costs less than counting the groups and joining.
     own = Window.partitionBy("key")
     met = filed.withColumns({"least": F.min("fp").over(own), "n": F.count(F.lit(1)).over(own)})
@@ -149,21 +157,36 @@ def close(a: str, b: str) -> Column:
     return hamming(F.col(a), F.col(b)) <= BITS
 
 
+def most_edits(a: Column, b: Column) -> Column:
+    """The edits allowed between lines of so many words."""
+    return F.floor((1 - SIMILARITY) * F.greatest(a, b) + 1e-9).cast("int")
+
+
+def alike_in_length(a: str, b: str) -> Column:
+    """Whether lines of ``a`` and ``b`` words can be within the edits allowed: these are at least the difference."""
+    return F.abs(F.col(a) - F.col(b)) <= most_edits(F.col(a), F.col(b))
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> Staged:
     """Pairs (a, b) of lines whose edit similarity reaches the bound."""
+    ends = stage(pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct(), "paired-lines")
+    paired = texts.join(ends.for_broadcast(), "h1", "left_semi")
+    texts = stage(paired.select("h1", word_characters(F.col("norm")).alias("words")), "line-words").df
     found = pairs.join(texts.select(F.col("h1").alias("a"), F.col("words").alias("wa")), "a").join(
         texts.select(F.col("h1").alias("b"), F.col("words").alias("wb")), "b"
     )
-    limit = F.floor((1 - SIMILARITY) * F.greatest(F.char_length("wa"), F.char_length("wb")) + 1e-9).cast("int")
+    limit = most_edits(F.char_length("wa"), F.char_length("wb"))
     distance = F.call_function("levenshtein", F.col("wa"), F.col("wb"), F.col("limit"))
     return stage(found.withColumn("limit", limit).where(distance >= 0).select("a", "b"), "line-links")
 
 
 def line_groups(docs_lines: DataFrame, classes: Staged) -> DataFrame:
     """(line, root) for every line that is linked to another; a line goes by its first hash."""
-    crowded = crowded_blocks(classes).df
-    members = classes.df.select("fp", F.col("h1").alias("line"))
-    heads = members.groupBy("fp").agg(F.min("line").alias("head"), F.count(F.lit(1)).alias("lines"))
+    members = classes.df.select("fp", F.col("h1").alias("line"), "parts", "at")
+    # Written once: the blocks, the twins and the lines near others all start from the distinct fingerprints.
+    prints = stage(members.groupBy("fp").agg(F.min("line").alias("head"), F.count(F.lit(1)).alias("lines")), "fingerprints")
+    heads, blocks = prints.df, crowded_blocks(prints.df)
+    crowded = blocks.df
     a, b = crowded.where(f"n <= {CROWD}").alias("a"), crowded.where(f"n <= {CROWD}").alias("b")
     few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & close("a.fp", "b.fp"))
     many = crowded.where(f"n > {CROWD}")
@@ -175,14 +198,10 @@ def line_groups(docs_lines: DataFrame, classes: Staged) -> DataFrame:
         .unionByName(twins).distinct(),
         "near-fingerprints",
     ).df
-    prints = near.select(F.col("fa").alias("fp")).unionByName(near.select(F.col("fb").alias("fp"))).unionByName(many.select("fp"))
-    placed = stage(members.join(prints.distinct(), "fp", "left_semi").join(heads, "fp"), "near-lines")
-    wanted = stage(placed.df.select(F.col("line").alias("h1")), "wanted-lines")
-    texts = stage(
-        docs_lines.select("h1", "norm").join(wanted.for_broadcast(), "h1", "left_semi")
-        .dropDuplicates(["h1"]).select("h1", word_characters(F.col("norm")).alias("words")),
-        "line-words",
-    ).df
+    met = near.select(F.col("fa").alias("fp")).unionByName(near.select(F.col("fb").alias("fp"))).unionByName(many.select("fp"))
+    placed = stage(members.join(met.distinct(), "fp", "left_semi").join(heads, "fp"), "near-lines")
+    wanted = stage(placed.df.select(F.col("at").alias("line")), "wanted-lines")
+    texts = stage(docs_lines.select("line", "h1", "norm").join(wanted.for_broadcast(), "line", "left_semi").drop("line"), "line-texts")
 
     def sides(pairs: DataFrame, lines: DataFrame) -> DataFrame:
         """Lines of both fingerprints of each pair."""
@@ -191,14 +210,14 @@ def line_groups(docs_lines: DataFrame, classes: Staged) -> DataFrame:
         return pairs.join(left, F.col("fa") == F.col("fp_a")).join(right, F.col("fb") == F.col("fp_b"))
 
     # At first the least line of a fingerprint stands for it.
-    first = sides(near, placed.df).where(
-        (F.col("line_a") != F.col("line_b")) & ((F.col("line_a") == F.col("head_a")) | (F.col("line_b") == F.col("head_b")) & (F.col("fa") != F.col("fb")))
+    first = sides(near, placed.df.drop("at")).where(
+        (F.col("line_a") != F.col("line_b")) & alike_in_length("parts_a", "parts_b") & ((F.col("line_a") == F.col("head_a")) | (F.col("line_b") == F.col("head_b")) & (F.col("fa") != F.col("fb")))
     )
     first = stage(first.select(F.col("line_a").alias("a"), F.col("line_b").alias("b")).distinct(), "first-pairs").df
-    links = verified(first, texts).df
+    links = verified(first, texts.df).df
     rooted = components(links, "line-groups").df.withColumnRenamed("node", "line")
     grouped = stage(
-        placed.df.join(rooted, "line", "left").select("fp", "line", "lines", F.coalesce("root", "line").alias("root")), "placed-lines"
+        placed.df.join(rooted, "line", "left").select("fp", "line", "parts", "lines", F.coalesce("root", "line").alias("root")), "placed-lines"
     ).df
     # A fingerprint whose lines are all in one group need not meet others of that group again.
     ends = grouped.groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.first("lines").alias("lines"))
@@ -210,13 +229,13 @@ def line_groups(docs_lines: DataFrame, classes: Staged) -> DataFrame:
     again = near.join(plural, F.col("fa") == F.col("fp"), "left_semi").unionByName(near.join(plural, F.col("fb") == F.col("fp"), "left_semi"))
     pairs = meets.select(F.col("a.fp").alias("fa"), F.col("b.fp").alias("fb")).unionByName(again).distinct()
     second = sides(pairs, grouped).where(
-        (F.col("root_a") != F.col("root_b")) & ((F.col("fa") != F.col("fb")) | (F.col("line_a") < F.col("line_b")))
+        (F.col("root_a") != F.col("root_b")) & alike_in_length("parts_a", "parts_b") & ((F.col("fa") != F.col("fb")) | (F.col("line_a") < F.col("line_b")))
     )
     second = second.select(F.col("line_a").alias("a"), F.col("line_b").alias("b"))
     second = stage(second.join(first, ["a", "b"], "left_anti"), "second-pairs")
-    if not second.rows:
-        return rooted
-    more = verified(second.df, texts)
+    more = verified(second.df, texts.df) if second.rows else second
+    for read in (prints, blocks, texts):
+        read.drop()
     if not more.rows:
         return rooted
     return components(links.unionByName(more.df), "line-groups").df.withColumnRenamed("node", "line")
@@ -224,7 +243,10 @@ def line_groups(docs_lines: DataFrame, classes: Staged) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> Staged:
     """(_d, _k1, _k2, drops): sorted positions of the lines to remove from each text that loses any."""
-    lines = document_lines(docs, doc_id, text, min_chars)
+    # Written once: splitting and folding cost more than reading the lines back, and
+    # what is computed for a line is not computed again for each of its words.
+    written = stage(document_lines(docs, doc_id, text, min_chars), "lines")
+    lines = written.df
     classes = line_classes(lines)
     grouped = line_groups(lines, classes)
     root = F.coalesce("root", "line").alias("root")
@@ -241,7 +263,11 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     flagged = places.select("doc_id", *KEYS, "pos", F.lit(0).alias("keep")).unionByName(kept)
     by_line = flagged.groupBy("doc_id", *KEYS, "pos").agg(F.max("keep").alias("keep")).where("keep = 0")
     drops = by_line.groupBy("doc_id", *KEYS).agg(F.array_sort(F.collect_list("pos")).alias("drops"))
-    return stage(drops.withColumnRenamed("doc_id", "_d"), "line-drops")
+    done = stage(drops.withColumnRenamed("doc_id", "_d"), "line-drops")
+    # Nothing reads these again, and the texts are shuffled next.
+    written.drop()
+    classes.drop()
+    return done
 
 
 def without(lines: Column, drops: Column) -> Column:
@@ -269,7 +295,8 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     # A column of its own: inside the lambda the text would be split again for each run of lines.
     joined = joined.withColumn("_lines", F.when(gone.isNotNull(), raw_lines(own)))
     full = F.coalesce(own, F.lit(""))
-    n_lines = F.octet_length(full) - F.octet_length(F.replace(full, F.lit("\n"), F.lit(""))) + 1
+    breaks = F.octet_length(full) - F.octet_length(F.replace(full, F.lit("\n"), F.lit("")))
+    n_lines = F.when(gone.isNull(), breaks + 1).otherwise(F.size("_lines"))
     shorter = F.when(gone.isNull(), own).otherwise(F.array_join(without(F.col("_lines"), gone), "\n"))
     removed = F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long")
     kept = [shorter.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
